@@ -10,7 +10,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def readings_from_events(events: DataFrame) -> DataFrame:
+def readings_from_events(events: DataFrame, keep_type: bool = False) -> DataFrame:
     """Map the driver's ``events`` table to readings (same rule in the oracle SQL).
 
     sensor_id: 'EXT-' when user_id % 10 = 9 else 'SENSOR-', then user_id padded to 5 digits;
@@ -26,6 +26,7 @@ def readings_from_events(events: DataFrame) -> DataFrame:
         (F.lit(40.0) + F.lit(0.5) * k).alias("humidity_pct"),
         (F.col("value") / (F.col("value") + F.lit(50.0))).alias("soil_moisture"),
         F.col("props").alias("payload"),
+        *([F.col("event_type")] if keep_type else []),
     )
 
 
