@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 DIGITS = 9
-FLAGSHIP = "hourly_rollup"
+FLAGSHIP = "predict_batch"
 
 
 def r9(c, digits: int = DIGITS):

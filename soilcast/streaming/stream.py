@@ -39,16 +39,22 @@ def stream_ingest(messages: DataFrame, table_path: str, reject_path: str, checkp
     return w.start()
 
 
+def _event_ts(df: DataFrame) -> DataFrame:
+    """Watermarks need TIMESTAMP: an LTZ copy of the NTZ event time (the session zone is UTC, same instant)."""
+    return df.withColumn("_event_ts", F.col("event_time").cast("timestamp"))
+
+
 def stream_dedup(parsed: DataFrame, watermark: str = "2 hours") -> DataFrame:
     """Drop redelivered messages (same sensor and time) within the watermark (off by default)."""
-    return parsed.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["sensor_id", "event_time"])
+    return _event_ts(parsed).withWatermark("_event_ts", watermark) \
+        .dropDuplicatesWithinWatermark(["sensor_id", "event_time"]).drop("_event_ts")
 
 
 def stream_hourly_rollup(readings: DataFrame, watermark: str = "2 hours") -> DataFrame:
     """The hourly mart kept current: 1-hour tumbling windows per sensor; state is dropped once the watermark
     passes a window, so it stays bounded."""
-    w = F.window("event_time", "1 hour")
-    g = readings.withWatermark("event_time", watermark).groupBy("sensor_id", w).agg(
+    w = F.window("_event_ts", "1 hour")
+    g = _event_ts(readings).withWatermark("_event_ts", watermark).groupBy("sensor_id", w).agg(
         F.avg("temperature_c").alias("avg_temp_c"), F.min("temperature_c").alias("min_temp_c"),
         F.max("temperature_c").alias("max_temp_c"),
         F.avg("humidity_pct").alias("avg_humidity"), F.min("humidity_pct").alias("min_humidity"),
@@ -57,4 +63,5 @@ def stream_hourly_rollup(readings: DataFrame, watermark: str = "2 hours") -> Dat
         F.max("soil_moisture").alias("max_moisture"),
         F.count(F.lit(1)).alias("reading_count"),
         F.count_if(F.coalesce(F.col("soil_moisture") < S.ANOMALY_THRESHOLD, F.lit(False))).alias("anomaly_count"))
-    return g.select("sensor_id", F.col("window.start").alias("hour_bucket"), *[c for c in g.columns if c not in ("sensor_id", "window")])
+    return g.select("sensor_id", F.col("window.start").cast("timestamp_ntz").alias("hour_bucket"),
+                    *[c for c in g.columns if c not in ("sensor_id", "window")])
