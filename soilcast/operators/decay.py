@@ -162,6 +162,26 @@ def decay_crossing(fit: DataFrame, threshold: float = S.WATERING_THRESHOLD, hori
         F.format_string("Exponential decay prediction (R² = %.3f)", F.col("r_squared")).alias("message"))
 
 
+def decay_critical(fit: DataFrame, critical: float = S.CRITICAL_THRESHOLD, horizon: int = S.HORIZON_HOURS) -> DataFrame:
+    """First whole hour h in [0, horizon] whose clamped curve value is at or below ``critical`` — the first
+    CRITICAL point of ``decay_curve`` without building the curve. The curve is non-increasing (A >= 0, exp is
+    semi-monotonic), so the answer is next to ceil(tau ln(A / (critical - offset)) - t_now); the neighbours
+    are checked with the very expression the curve uses, so the result equals the curve's."""
+    a, tau, o, t = F.col("A"), F.col("tau"), F.col("offset"), F.col("t_now")
+
+    def value(h: Column) -> Column:
+        return F.least(F.greatest(decay_value(a, tau, o, t + h), F.lit(0.0)), F.lit(1.0))
+
+    guess = F.when((a > 0) & (o < critical), F.ceil(tau * F.log(a / (F.lit(critical) - o)) - t)) \
+        .otherwise(F.lit(0)).cast("long")
+    guess = F.least(F.greatest(guess, F.lit(0)), F.lit(horizon))
+    cands = F.filter(F.array(guess - 1, guess, guess + 1, F.lit(horizon)),
+                     lambda h: (h >= 0) & (h <= horizon) & (value(h) <= F.lit(critical)))
+    first = F.array_min(cands)
+    return fit.select("sensor_id", first.cast("int").alias("critical_hour"),
+                      add_hours(F.col("current_time"), first.cast("int")).alias("critical_time"))
+
+
 def decay_curve(fit: DataFrame, horizon: int = S.HORIZON_HOURS) -> DataFrame:
     """337 points per fitted sensor (h = 0..336): clamped model value, status, colour, decaying confidence."""
     h = F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias("h")

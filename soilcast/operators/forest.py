@@ -19,8 +19,9 @@ from soilcast.functions.timefn import add_hours
 from soilcast.operators.windows import FEATURE_NAMES, history_features, order_cols, tail_n
 from soilcast.session import scratch_path
 
-MAX_DEPTH = 12
+MAX_DEPTH = 10
 MAX_BINS = 64
+MAX_MEMORY_MB = 1024   # histogram memory per iteration: more tree nodes split per pass over the data
 ML_CONFIDENCE = 0.85
 NONE_CONFIDENCE = 0.6
 
@@ -42,7 +43,8 @@ def forest_train(training_rows: DataFrame, num_trees: int = S.FOREST_TREES, seed
     data = VectorAssembler(inputCols=FEATURE_NAMES, outputCol="features").transform(training_rows) \
         .select("features", F.col("target").alias("label"))
     rf = RandomForestRegressor(numTrees=num_trees, seed=seed, maxDepth=max_depth, maxBins=max_bins,
-                               featureSubsetStrategy="all", labelCol="label", featuresCol="features")
+                               featureSubsetStrategy="all", labelCol="label", featuresCol="features",
+                               maxMemoryInMB=MAX_MEMORY_MB, cacheNodeIds=True)
     return rf.fit(data)
 
 
@@ -83,10 +85,9 @@ def predict_arrays(arr: dict, x: np.ndarray) -> np.ndarray:
     b = x.shape[0]
     node = np.broadcast_to(arr["roots"], (b, len(arr["roots"]))).copy()
     rows = np.arange(b)[:, None]
-    for _ in range(arr["depth"]):
-        f = arr["feature"][node]
-        go_left = x[rows, f] <= arr["threshold"][node]
-        node = np.where(arr["leaf"][node], node, np.where(go_left, arr["left"][node], arr["right"][node]))
+    feat, thr, left, right = arr["feature"], arr["threshold"], arr["left"], arr["right"]
+    for _ in range(arr["depth"]):            # leaves point to themselves, so extra levels are no-ops
+        node = np.where(x[rows, feat[node]] <= thr[node], left[node], right[node])
     return arr["value"][node].mean(axis=1)
 
 
@@ -120,13 +121,14 @@ def _rollout_fn(bc, horizon: int):
             b = len(pdf)
             out = np.empty((b, horizon + 1))
             out[:, 0] = pdf["current_moisture"].values
+            # calendar features of every (sensor, step) at once
+            ts = pd.DatetimeIndex((t0[:, None] + np.arange(horizon + 1)[None, :] * np.timedelta64(1, "h")).reshape(-1))
+            hour = ts.hour.values.reshape(b, -1).astype(float)
+            dow = ts.dayofweek.values.reshape(b, -1).astype(float)
+            season = ((ts.month.values % 12) // 3).reshape(b, -1).astype(float)
             for h in range(1, horizon + 1):
-                ts = pd.DatetimeIndex(t0 + np.timedelta64(h, "h"))
-                x = np.column_stack([
-                    ts.hour.values.astype(float), ts.dayofweek.values.astype(float),
-                    ((ts.month.values % 12) // 3).astype(float)])
                 base = features_from_history(hist, 0, 0, 0, h / 24.0)
-                base[:, 0:3] = x
+                base[:, 0], base[:, 1], base[:, 2] = hour[:, h], dow[:, h], season[:, h]
                 p = np.clip(predict_arrays(arr, base), 0.0, 1.0)
                 out[:, h] = p
                 hist = np.concatenate([hist[:, 1:], p[:, None]], axis=1)

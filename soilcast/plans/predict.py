@@ -30,7 +30,7 @@ def _series(readings: DataFrame) -> DataFrame:
 
 
 def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bool | None = None,
-            forest_params: dict | None = None, method: str | None = None) -> Analysis:
+            forest_params: dict | None = None, method: str | None = None, materialize: bool = False) -> Analysis:
     """Analyse every sensor of ``readings``: its whole series by default, or (``compat_limit``) the newest
     rows over all sensors together as the service's single query does. ``method`` forces one method for
     every sensor (operator-level use); by default n >= 50 selects the forest."""
@@ -40,6 +40,13 @@ def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bo
     valid = checks.where(F.col("status") == "valid").select("sensor_id", F.col("n_readings").alias("samples_used"))
     rejects = checks.where(F.col("status") == "rejected")
     s = series.join(valid.select("sensor_id"), "sensor_id", "left_semi")
+    if materialize:
+        from soilcast.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(s.sparkSession)
+        n = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        s = s.repartition(n, "sensor_id").checkpoint(eager=True)
+        valid = staging.validate_series(s).where(F.col("status") == "valid").select(
+            "sensor_id", F.col("n_readings").alias("samples_used"))
 
     meta = valid.withColumn("method", F.lit(method) if method else choose_method(F.col("samples_used")))
     cur = linear.current_reading(s).drop("n_readings")
@@ -51,9 +58,10 @@ def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bo
     # exponential sensors: decay fit (always fitted with >= 10 points), crossing and curve
     fit = decay.decay_fit(s.join(exp_ids, "sensor_id", "left_semi"))
     cross = decay.decay_crossing(fit)
-    pred_exp = cross.select("sensor_id", "hours_from_now", "predicted_moisture", "urgency", "confidence",
-                            "predicted_time", "message", F.lit("exponential").alias("method_effective"),
-                            F.col("confidence").alias("model_confidence"))
+    pred_exp = cross.join(decay.decay_critical(fit), "sensor_id").select(
+        "sensor_id", "hours_from_now", "predicted_moisture", "urgency", "confidence", "predicted_time", "message",
+        F.lit("exponential").alias("method_effective"), F.col("confidence").alias("model_confidence"),
+        F.col("critical_time").alias("curve_critical_time"))
     curves = decay.decay_curve(fit)
 
     if use_forest is None:
@@ -64,9 +72,10 @@ def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bo
         arrays = forest.forest_arrays(model)
         fcurve = forest.forest_curve(forest.forest_seeds(ml_series), arrays)
         ffc = forest.forest_forecast(fcurve)
-        pred_ml = ffc.select("sensor_id", "hours_from_now", "predicted_moisture", "urgency", "confidence",
-                             "predicted_time", "message", F.lit("ml").alias("method_effective"),
-                             F.lit(forest.ML_CONFIDENCE).alias("model_confidence"))
+        pred_ml = ffc.join(curve_crossing(fcurve).select("sensor_id", "critical_time"), "sensor_id", "left").select(
+            "sensor_id", "hours_from_now", "predicted_moisture", "urgency", "confidence",
+            "predicted_time", "message", F.lit("ml").alias("method_effective"),
+            F.lit(forest.ML_CONFIDENCE).alias("model_confidence"), F.col("critical_time").alias("curve_critical_time"))
         preds = pred_exp.unionByName(pred_ml)
         curves = curves.unionByName(fcurve)
     else:
@@ -86,6 +95,7 @@ def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bo
         F.when(imm.isNotNull(), ST.immediate_message(imm, ml)).otherwise(F.col("message")).alias("message"),
         pred_time.alias("predicted_watering_date"),
         F.coalesce(F.col("model_confidence"), F.lit(0.0)).alias("model_accuracy"),
+        "curve_critical_time",
     )
     res = res.withColumn("status", ST.urgency_status(F.col("urgency"))).withColumn(
         "critical_watering_date",
@@ -127,9 +137,9 @@ def predict_submission(submissions: DataFrame, key: str = "submission_id", **kw)
     ok = submissions.join(checks.where(F.col("status") == "valid").select(key), key, "left_semi")
     rows = submitted_series(ok, key)
     series = rows.select(F.col(key).alias("sensor_id"), "event_time", "soil_moisture", "event_id")
+    kw.setdefault("materialize", True)
     a = analyze(series, **kw)
-    crit = curve_crossing(a.curves)
-    r = a.results.join(crit, "sensor_id", "left")
+    r = a.results.withColumn("critical_time", F.col("curve_critical_time"))
     ids = ok.select(F.col(key).alias("_k"), F.coalesce(F.col("sensor_id"), F.lit(S.DEFAULT_SUBMISSION_ID)).alias("request_sensor_id"))
     r = r.join(ids, r["sensor_id"] == ids["_k"])
     return r.select(

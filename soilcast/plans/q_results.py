@@ -366,3 +366,10 @@ def q_forest_forecast(spark, sf):
     s = _ml_series(spark, sf)
     arrays = forest.forest_arrays(forest.forest_train(forest.forest_training_rows(s)))
     return forest.forest_forecast(forest.forest_curve(forest.forest_seeds(s), arrays))
+
+
+@query("urgency_status", analysis_sql("SELECT sensor_id, urgency, status FROM res3"))
+def q_urgency_status(spark, sf):
+    from soilcast.functions.status import urgency_status
+    r = P.analyze(readings(spark, sf), use_forest=False, method="exponential").results
+    return r.select("sensor_id", "urgency", urgency_status(F.col("urgency")).alias("status"))
