@@ -16,6 +16,55 @@ def series_window(df: DataFrame, key: str = "sensor_id"):
     return Window.partitionBy(key).orderBy(*order_cols(df))
 
 
+CHUNK = "_chunk"
+HALO = "_halo"
+
+
+def chunked_series(df: DataFrame, halo: int, chunk=None) -> DataFrame:
+    """Split every sensor's series into chunks (days by default) for windows with a bounded look-back.
+
+    Returns the rows of ``df`` with ``_chunk``, a global 1-based ``rn`` per sensor, the sensor's total ``_total``
+    and ``_halo = false``, plus, for every chunk, copies (``_halo = true``) of the ``halo`` newest rows that
+    precede it. A window partitioned by (sensor_id, _chunk) and ordered by time then sees, for each non-halo
+    row, exactly the preceding rows a whole-series window would see up to ``halo`` back. A hot sensor is
+    spread over its chunks instead of landing in one task; everything else is a per-(sensor, chunk) top-n
+    (WindowGroupLimit), a partially aggregated count, and windows over the small (sensor, chunk) table.
+    Halo copies number at most ``halo`` per chunk."""
+    o = order_cols(df)
+    d = df.withColumn(CHUNK, chunk if chunk is not None else F.to_date("event_time"))
+    wc = Window.partitionBy("sensor_id").orderBy(CHUNK)
+    cs = d.groupBy("sensor_id", CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    cs = cs.select("sensor_id", CHUNK, "_n",
+                   F.row_number().over(wc).alias("_ci"),
+                   F.coalesce(F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+                   F.sum("_n").over(Window.partitionBy("sensor_id")).alias("_total"))
+    # chunks whose halo can reach back into chunk i: those starting within `halo` rows after chunk i ends
+    reach = F.count(F.lit(1)).over(Window.partitionBy("sensor_id").orderBy("_off").rangeBetween(0, halo - 1))
+    cs = cs.withColumn("_reach", reach).withColumn(
+        "_span", F.coalesce(F.lead("_reach", 1).over(wc), F.lit(0))).drop("_reach")
+    local = Window.partitionBy("sensor_id", CHUNK).orderBy(*o)
+    main = d.join(cs, ["sensor_id", CHUNK]).withColumn("rn", F.col("_off") + F.row_number().over(local))
+    keep = df.columns + [CHUNK, "rn", "_total"]
+    if halo <= 0:
+        return main.select(*keep, F.lit(False).alias(HALO))
+    # halo candidates: the newest `halo` rows of each chunk (top-n per chunk), sent to the next chunks
+    back = Window.partitionBy("sensor_id", CHUNK).orderBy(*[F.col(c).desc() for c in o])
+    tail = d.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= halo) \
+        .join(cs, ["sensor_id", CHUNK]).withColumn("rn", F.col("_off") + F.col("_n") - F.col("_back") + 1) \
+        .where(F.col("_span") > 0)
+    sent = tail.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_span")))) \
+        .withColumn("_target", F.col("_ci") + F.col("_k"))
+    tgt = cs.select("sensor_id", F.col("_ci").alias("_target"), F.col(CHUNK).alias("_tchunk"),
+                    F.col("_off").alias("_toff"))
+    halo_rows = sent.join(tgt, ["sensor_id", "_target"]).where(F.col("_toff") <= F.col("rn") + halo - 1) \
+        .withColumn(CHUNK, F.col("_tchunk"))
+    return main.select(*keep, F.lit(False).alias(HALO)).unionByName(halo_rows.select(*keep, F.lit(True).alias(HALO)))
+
+
+def chunk_window(df: DataFrame):
+    return Window.partitionBy("sensor_id", CHUNK).orderBy(*order_cols(df))
+
+
 def ordered_readings(readings: DataFrame) -> DataFrame:
     """Sort by sensor and time; event_id makes the order total (a stable sort)."""
     return readings.orderBy("sensor_id", *order_cols(readings))
@@ -23,24 +72,26 @@ def ordered_readings(readings: DataFrame) -> DataFrame:
 
 def sensor_analytics(readings: DataFrame, span: int = 24) -> DataFrame:
     """Trailing average over the current and 23 preceding rows, and the previous moisture."""
-    w = series_window(readings)
-    return readings.select(
-        *[c for c in ["event_id", "sensor_id", "event_time", "temperature_c", "humidity_pct", "soil_moisture"]
-          if c in readings.columns],
+    c = chunked_series(readings, span - 1)
+    w = chunk_window(readings)
+    return c.select(
+        *[x for x in ["event_id", "sensor_id", "event_time", "temperature_c", "humidity_pct", "soil_moisture"]
+          if x in readings.columns], HALO,
         F.avg("soil_moisture").over(w.rowsBetween(-(span - 1), 0)).alias("moisture_24h_avg"),
         F.lag("soil_moisture", 1).over(w).alias("prev_moisture"),
-    ).orderBy("sensor_id", *order_cols(readings))
+    ).where(~F.col(HALO)).drop(HALO).orderBy("sensor_id", *order_cols(readings))
 
 
 def reading_deltas(readings: DataFrame) -> DataFrame:
     """Moisture difference and hours since the previous reading of the same sensor."""
-    w = series_window(readings)
-    return readings.select(
-        *[c for c in ["event_id", "sensor_id", "event_time", "soil_moisture"] if c in readings.columns],
+    c = chunked_series(readings, 1)
+    w = chunk_window(readings)
+    return c.select(
+        *[x for x in ["event_id", "sensor_id", "event_time", "soil_moisture"] if x in readings.columns], HALO,
         F.lag("soil_moisture", 1).over(w).alias("prev_moisture"),
         (F.col("soil_moisture") - F.lag("soil_moisture", 1).over(w)).alias("moisture_diff"),
         hours_between(F.lag("event_time", 1).over(w), F.col("event_time")).alias("time_diff_hours"),
-    )
+    ).where(~F.col(HALO)).drop(HALO)
 
 
 def watering_events(readings: DataFrame, rise: float = S.EVENT_RISE, max_gap_hours: float = S.EVENT_MAX_GAP_HOURS,
@@ -95,10 +146,9 @@ def tail_n(readings: DataFrame, n: int, newest: bool = True) -> DataFrame:
 def train_split(readings: DataFrame, fraction: float = S.TRAIN_FRACTION, history: int = S.HISTORY) -> DataFrame:
     """First int(fraction * n) rows by time are training rows; rows with >= ``history`` predecessors among
     them are model targets."""
-    w = series_window(readings)
-    rn = F.row_number().over(w).cast("bigint")
-    n = F.count(F.lit(1)).over(Window.partitionBy("sensor_id"))
-    out = readings.select("sensor_id", *order_cols(readings), "soil_moisture", rn.alias("rn"), n.alias("n"))
+    c = chunked_series(readings, 0).where(~F.col(HALO))       # global row numbers; no look-back needed
+    out = c.select("sensor_id", *order_cols(readings), "soil_moisture", F.col("rn").cast("bigint").alias("rn"),
+                   F.col("_total").cast("bigint").alias("n"))
     split = F.floor(F.col("n") * F.lit(fraction)).cast("bigint")
     return out.select("*", split.alias("split_idx"),
                       (F.col("rn") <= split).alias("is_train"),
@@ -113,18 +163,19 @@ def history_features(readings: DataFrame, history: int = S.HISTORY, feature_rise
     13 features: hour, weekday (Mon = 0), season, days since watering, mean / population std / min of the
     previous 24 values, (h[-1] - h[-24]) / 24, count of rises > 0.3 inside the history, then temperature,
     humidity, light hours and season factor (constants unless ``env_cols`` names columns)."""
-    w = series_window(readings)
+    c = chunked_series(readings, history)
+    w = chunk_window(readings)
     hist = w.rowsBetween(-history, -1)
     inner = w.rowsBetween(-(history - 1), -1)
     m = F.col("soil_moisture")
     delta = m - F.lag(m, 1).over(w)
-    base = readings.select("*", F.row_number().over(w).cast("bigint").alias("rn"), delta.alias("_delta"))
+    base = c.withColumn("rn", F.col("rn").cast("bigint")).withColumn("_delta", delta)
     newest_rise = F.max(F.when(F.col("_delta") > days_rise, F.col("rn"))).over(inner)
     env = env or S.ENV_DEFAULTS
     env_cols = env_cols or {}
     env_names = ["temperature", "humidity", "light_hours", "season_factor"]
     feats = base.select(
-        "sensor_id", *order_cols(readings), "rn", m.alias("target"),
+        "sensor_id", *order_cols(readings), "rn", HALO, m.alias("target"),
         F.hour("event_time").cast("double").alias("hour_of_day"),
         weekday(F.col("event_time")).cast("double").alias("day_of_week"),
         season(F.col("event_time")).cast("double").alias("season"),
@@ -138,7 +189,7 @@ def history_features(readings: DataFrame, history: int = S.HISTORY, feature_rise
         *[(F.col(env_cols[nm]).cast("double") if nm in env_cols else F.lit(float(v))).alias(nm)
           for nm, v in zip(env_names, env)],
     )
-    return feats.where(F.col("rn") > history)
+    return feats.where((F.col("rn") > history) & ~F.col(HALO)).drop(HALO)
 
 
 FEATURE_NAMES = ["hour_of_day", "day_of_week", "season", "days_since_last_water", "hist_mean", "hist_std",
