@@ -52,28 +52,35 @@ def _clamp(c: Column, lo: float, hi: float) -> Column:
 
 
 def _best_per_tau(sums: DataFrame) -> DataFrame:
-    """Closed-form box-constrained (A, offset) for each (sensor, tau) from the sums."""
+    """Closed-form box-constrained (A, offset) for each (sensor, tau) from the sums. Candidates are computed as
+    columns first and their SSEs from column references, which keeps expression trees (and planning) small."""
     n, se, see, sy, sey, syy = (F.col(c) for c in ["n", "se", "see", "sy", "sey", "syy"])
-
-    def cand(a: Column, o: Column, ok: Column | None = None) -> Column:
+    det = see * n - se * se
+    a_u = (n * sey - se * sy) / det
+    o_u = (see * sy - se * sey) / det
+    x = sums.select("sensor_id", "tau", "n", "se", "see", "sy", "sey", "syy",
+                    a_u.alias("au"), o_u.alias("ou"), det.alias("det"))
+    ok_u = (F.col("det") > 0) & F.col("au").between(A_MIN, A_MAX) & F.col("ou").between(O_MIN, O_MAX)
+    cand = [  # (A, offset) of the interior solution and of the four box edges
+        (F.when(ok_u, F.col("au")).otherwise(F.lit(0.0)), F.when(ok_u, F.col("ou")).otherwise(F.lit(0.0))),
+        (F.lit(A_MIN), _clamp((sy - A_MIN * se) / n, O_MIN, O_MAX)),
+        (F.lit(A_MAX), _clamp((sy - A_MAX * se) / n, O_MIN, O_MAX)),
+        (_clamp((sey - O_MIN * se) / see, A_MIN, A_MAX), F.lit(O_MIN)),
+        (_clamp((sey - O_MAX * se) / see, A_MIN, A_MAX), F.lit(O_MAX)),
+    ]
+    x = x.select("sensor_id", "tau", "n", "se", "see", "sy", "sey", "syy", ok_u.alias("ok"),
+                 *[c.alias(f"a{i}") for i, (c, _) in enumerate(cand)],
+                 *[c.alias(f"o{i}") for i, (_, c) in enumerate(cand)])
+
+    def cand_struct(i: int) -> Column:
+        a, o = F.col(f"a{i}"), F.col(f"o{i}")
         sse = syy - 2 * a * sey - 2 * o * sy + a * a * see + 2 * a * o * se + n * o * o
         key = F.round(sse, SSE_DIGITS)
-        if ok is not None:
-            key = F.when(ok, key).otherwise(F.lit(BIG))
+        if i == 0:
+            key = F.when(F.col("ok"), key).otherwise(F.lit(BIG))
         return F.struct(key.alias("k"), a.alias("a"), o.alias("o"), sse.alias("sse"))
 
-    det = see * n - se * se
-    a_u = (n * sey - se * sy) / det
-    o_u = (see * sy - se * sey) / det
-    ok_u = (det > 0) & a_u.between(A_MIN, A_MAX) & o_u.between(O_MIN, O_MAX)
-    cands = F.array(
-        cand(F.when(ok_u, a_u).otherwise(F.lit(0.0)), F.when(ok_u, o_u).otherwise(F.lit(0.0)), ok_u),
-        cand(F.lit(A_MIN), _clamp((sy - A_MIN * se) / n, O_MIN, O_MAX)),
-        cand(F.lit(A_MAX), _clamp((sy - A_MAX * se) / n, O_MIN, O_MAX)),
-        cand(_clamp((sey - O_MIN * se) / see, A_MIN, A_MAX), F.lit(O_MIN)),
-        cand(_clamp((sey - O_MAX * se) / see, A_MIN, A_MAX), F.lit(O_MAX)),
-    )
-    return sums.select("sensor_id", "tau", F.array_min(cands).alias("c"))
+    return x.select("sensor_id", "tau", F.array_min(F.array(*[cand_struct(i) for i in range(5)])).alias("c"))
 
 
 def _pass(points: DataFrame, grid: DataFrame) -> DataFrame:
@@ -108,9 +115,12 @@ def _refine_grid(best: DataFrame, step: float) -> DataFrame:
 def decay_fit(readings: DataFrame, tail: int = S.DECAY_TAIL, min_points: int = S.MIN_READINGS) -> DataFrame:
     """Per sensor: A, tau, offset, R², confidence = clamp(R², 0.3, 0.95), fitted (>= 10 points), and the facts
     needed to evaluate the model (start/current time, hours of the newest point, current moisture)."""
-    # The points (<= 168 per sensor) are read by five passes; all of them reuse the one shuffle (ReusedExchange)
-    # and its partitioning, so no pass moves points again. (A cached copy would lose that partitioning.)
-    pts = decay_points(readings, tail).where(F.col("n_points") >= min_points)
+    # The points (<= 168 per sensor) are read by five passes. They are written once to the shared checkpoint
+    # folder (reliable checkpoint: lineage is cut, a lost executor costs a re-read, and the hash partitioning on
+    # sensor_id is kept, so no pass moves points again). The plan of each pass then starts from one leaf instead
+    # of repeating the tail sub-plan, which also keeps driver-side planning small.
+    from soilcast.session import cut_lineage
+    pts = cut_lineage(decay_points(readings, tail).where(F.col("n_points") >= min_points))
     spark = readings.sparkSession
     lo, hi, step = COARSE
     coarse = spark.range(int(round((hi - lo) / step)) + 1).select((F.lit(lo) + F.col("id") * F.lit(step)).alias("tau"))

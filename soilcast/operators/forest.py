@@ -40,12 +40,19 @@ def forest_train(training_rows: DataFrame, num_trees: int = S.FOREST_TREES, seed
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
+    from pyspark import StorageLevel
+
+    # the fit scans its input several times (split candidates, metadata, bagging): materialise the window-built
+    # rows once for the duration of the (eager) fit; lost blocks are recomputed from lineage
     data = VectorAssembler(inputCols=FEATURE_NAMES, outputCol="features").transform(training_rows) \
-        .select("features", F.col("target").alias("label"))
+        .select("features", F.col("target").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
     rf = RandomForestRegressor(numTrees=num_trees, seed=seed, maxDepth=max_depth, maxBins=max_bins,
                                featureSubsetStrategy="all", labelCol="label", featuresCol="features",
                                maxMemoryInMB=MAX_MEMORY_MB, cacheNodeIds=True)
-    return rf.fit(data)
+    try:
+        return rf.fit(data)
+    finally:
+        data.unpersist()
 
 
 def forest_arrays(model) -> dict:

@@ -18,6 +18,34 @@ def series_window(df: DataFrame, key: str = "sensor_id"):
 
 CHUNK = "_chunk"
 HALO = "_halo"
+# A sensor with more rows than this is windowed in (sensor, day) chunks; below it, whole-series windows are
+# cheaper. Set "soilcast.skewRows" on the session to change it (0 forces chunking).
+SKEW_ROWS = 2_000_000
+
+
+def skew_rows(spark) -> int:
+    return int(spark.conf.get("soilcast.skewRows", str(SKEW_ROWS)))
+
+
+def has_hot_sensor(df: DataFrame) -> bool:
+    """True when some sensor holds more rows than the skew threshold. One partially aggregated count per
+    sensor and a single max come back to the driver (a scalar)."""
+    limit = skew_rows(df.sparkSession)
+    if limit <= 0:
+        return True
+    top = df.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0]
+    return top is not None and top > limit
+
+
+def series_frame(df: DataFrame, halo: int) -> DataFrame:
+    """Rows with ``_chunk``, global ``rn``, ``_total`` and ``_halo`` for windows over ``chunk_window``: chunked
+    with halos when a hot sensor exists, else one chunk per sensor (plain whole-series windows)."""
+    if has_hot_sensor(df):
+        return chunked_series(df, halo)
+    w = Window.partitionBy("sensor_id").orderBy(*order_cols(df))
+    return df.select("*", F.lit(0).alias(CHUNK), F.row_number().over(w).cast("long").alias("rn"),
+                     F.count(F.lit(1)).over(Window.partitionBy("sensor_id")).alias("_total"),
+                     F.lit(False).alias(HALO))
 
 
 def chunked_series(df: DataFrame, halo: int, chunk=None) -> DataFrame:
@@ -72,7 +100,7 @@ def ordered_readings(readings: DataFrame) -> DataFrame:
 
 def sensor_analytics(readings: DataFrame, span: int = 24) -> DataFrame:
     """Trailing average over the current and 23 preceding rows, and the previous moisture."""
-    c = chunked_series(readings, span - 1)
+    c = series_frame(readings, span - 1)
     w = chunk_window(readings)
     return c.select(
         *[x for x in ["event_id", "sensor_id", "event_time", "temperature_c", "humidity_pct", "soil_moisture"]
@@ -84,7 +112,7 @@ def sensor_analytics(readings: DataFrame, span: int = 24) -> DataFrame:
 
 def reading_deltas(readings: DataFrame) -> DataFrame:
     """Moisture difference and hours since the previous reading of the same sensor."""
-    c = chunked_series(readings, 1)
+    c = series_frame(readings, 1)
     w = chunk_window(readings)
     return c.select(
         *[x for x in ["event_id", "sensor_id", "event_time", "soil_moisture"] if x in readings.columns], HALO,
@@ -146,7 +174,7 @@ def tail_n(readings: DataFrame, n: int, newest: bool = True) -> DataFrame:
 def train_split(readings: DataFrame, fraction: float = S.TRAIN_FRACTION, history: int = S.HISTORY) -> DataFrame:
     """First int(fraction * n) rows by time are training rows; rows with >= ``history`` predecessors among
     them are model targets."""
-    c = chunked_series(readings, 0).where(~F.col(HALO))       # global row numbers; no look-back needed
+    c = series_frame(readings, 0).where(~F.col(HALO))       # global row numbers; no look-back needed
     out = c.select("sensor_id", *order_cols(readings), "soil_moisture", F.col("rn").cast("bigint").alias("rn"),
                    F.col("_total").cast("bigint").alias("n"))
     split = F.floor(F.col("n") * F.lit(fraction)).cast("bigint")
@@ -163,7 +191,7 @@ def history_features(readings: DataFrame, history: int = S.HISTORY, feature_rise
     13 features: hour, weekday (Mon = 0), season, days since watering, mean / population std / min of the
     previous 24 values, (h[-1] - h[-24]) / 24, count of rises > 0.3 inside the history, then temperature,
     humidity, light hours and season factor (constants unless ``env_cols`` names columns)."""
-    c = chunked_series(readings, history)
+    c = series_frame(readings, history)
     w = chunk_window(readings)
     hist = w.rowsBetween(-history, -1)
     inner = w.rowsBetween(-(history - 1), -1)

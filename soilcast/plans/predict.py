@@ -41,10 +41,9 @@ def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bo
     rejects = checks.where(F.col("status") == "rejected")
     s = series.join(valid.select("sensor_id"), "sensor_id", "left_semi")
     if materialize:
-        from soilcast.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(s.sparkSession)
+        from soilcast.session import cut_lineage
         n = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        s = s.repartition(n, "sensor_id").checkpoint(eager=True)
+        s = cut_lineage(s.repartition(n, "sensor_id"))
         valid = staging.validate_series(s).where(F.col("status") == "valid").select(
             "sensor_id", F.col("n_readings").alias("samples_used"))
 

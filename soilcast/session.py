@@ -49,3 +49,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for intermediate tables and models."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}"
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder. The frame is persisted for the duration of the
+    write: an un-cached reliable checkpoint would compute the plan twice (once for the action, once for the
+    checkpoint files). The result keeps the frame's partitioning and survives executor loss."""
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
