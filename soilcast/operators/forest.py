@@ -172,24 +172,27 @@ def forest_curve(seeds: DataFrame, model_arrays: dict, horizon: int = S.HORIZON_
                     conf.alias("confidence"), F.lit("ml_random_forest").alias("model_type"))
 
 
-def forest_forecast(curve: DataFrame, threshold: float = S.WATERING_THRESHOLD, horizon: int = S.HORIZON_HOURS) -> DataFrame:
-    """First h >= 1 whose prediction is at or below the threshold; none -> NONE at the horizon."""
+def forest_forecast(curve: DataFrame, threshold: float = S.WATERING_THRESHOLD, horizon: int = S.HORIZON_HOURS,
+                    critical: float = S.CRITICAL_THRESHOLD) -> DataFrame:
+    """First h >= 1 whose prediction is at or below the threshold; none -> NONE at the horizon. One aggregate
+    over the curve (min_by with a conditional ordering), so the roll-out is evaluated once; it also yields
+    the curve's first CRITICAL point."""
+    h, m = F.col("hours_from_now"), F.col("predicted_moisture")
+    hit = F.when((h >= 1) & (m <= threshold), h)
+    crit = F.when(m <= critical, h)
     g = curve.groupBy("sensor_id").agg(
-        F.min(F.when((F.col("hours_from_now") >= 1) & (F.col("predicted_moisture") <= threshold),
-                     F.col("hours_from_now"))).alias("h"),
-        F.max("timestamp").alias("_last_ts"),
-        F.max_by("predicted_moisture", F.col("hours_from_now")).alias("_last_m"),
-        F.min_by("timestamp", F.col("hours_from_now")).alias("current_time"))
-    hit = curve.select("sensor_id", F.col("hours_from_now").alias("h"), F.col("predicted_moisture").alias("_hit_m"),
-                       F.col("timestamp").alias("_hit_ts"))
-    j = g.join(hit, ["sensor_id", "h"], "left")
+        F.min(hit).alias("h"), F.min_by("predicted_moisture", hit).alias("_hit_m"),
+        F.min_by("timestamp", hit).alias("_hit_ts"),
+        F.max_by("predicted_moisture", h).alias("_last_m"), F.max("timestamp").alias("_last_ts"),
+        F.min_by("timestamp", crit).alias("critical_time"))
     found = F.col("h").isNotNull()
     hours = F.when(found, F.col("h").cast("double")).otherwise(F.lit(float(horizon)))
-    return j.select(
+    return g.select(
         "sensor_id", hours.alias("hours_from_now"),
         F.when(found, F.col("_hit_m")).otherwise(F.col("_last_m")).alias("predicted_moisture"),
         F.when(found, urgency_level(F.col("h"))).otherwise(F.lit("NONE")).alias("urgency"),
         F.when(found, F.lit(ML_CONFIDENCE)).otherwise(F.lit(NONE_CONFIDENCE)).alias("confidence"),
         F.when(found, F.col("_hit_ts")).otherwise(F.col("_last_ts")).alias("predicted_time"),
         F.when(found, F.lit("ML prediction based on 24h history"))
-         .otherwise(F.lit("No watering needed in next 14 days (ML prediction)")).alias("message"))
+         .otherwise(F.lit("No watering needed in next 14 days (ML prediction)")).alias("message"),
+        "critical_time")

@@ -71,7 +71,7 @@ def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bo
         arrays = forest.forest_arrays(model)
         fcurve = forest.forest_curve(forest.forest_seeds(ml_series), arrays)
         ffc = forest.forest_forecast(fcurve)
-        pred_ml = ffc.join(curve_crossing(fcurve).select("sensor_id", "critical_time"), "sensor_id", "left").select(
+        pred_ml = ffc.select(
             "sensor_id", "hours_from_now", "predicted_moisture", "urgency", "confidence",
             "predicted_time", "message", F.lit("ml").alias("method_effective"),
             F.lit(forest.ML_CONFIDENCE).alias("model_confidence"), F.col("critical_time").alias("curve_critical_time"))

@@ -34,3 +34,27 @@ def test_predict_batch_covers_every_sensor_once(spark):
     row = a.results.collect()[0]
     assert row.status in ("CRITICAL", "WARNING", "OK") and row.health_score == 100
     assert a.curves.groupBy("sensor_id").count().where(F.col("count") != 337).count() == 0
+
+
+def test_forest_forecast_equals_brute_force(spark):
+    """The one-aggregate forecast equals a plain scan of each materialised curve."""
+    from soilcast.operators.report import curve_crossing
+    r = load_readings(spark, SF001)
+    arr = forest.forest_arrays(forest.forest_train(forest.forest_training_rows(r), num_trees=10, max_depth=6))
+    c = forest.forest_curve(forest.forest_seeds(r), arr).cache()
+    fc = {x.sensor_id: x for x in forest.forest_forecast(c).collect()}
+    cc = {x.sensor_id: x.critical_time for x in curve_crossing(c).collect()}
+    pdf = c.toPandas()
+    for sid, g in pdf.groupby("sensor_id"):
+        g = g.sort_values("hours_from_now")
+        hit = g[(g.hours_from_now >= 1) & (g.predicted_moisture <= 0.3)]
+        row = fc[sid]
+        if len(hit):
+            assert row.hours_from_now == hit.iloc[0].hours_from_now
+            assert row.predicted_moisture == hit.iloc[0].predicted_moisture
+            assert row.urgency == ("HIGH" if row.hours_from_now < 12 else "MEDIUM" if row.hours_from_now < 48 else "LOW")
+        else:
+            assert row.urgency == "NONE" and row.hours_from_now == 336.0
+            assert row.predicted_moisture == g.iloc[-1].predicted_moisture
+        assert row.critical_time == cc.get(sid)
+    c.unpersist()
