@@ -15,18 +15,30 @@ SUBMISSION_REASONS = [
 ]
 
 
-def submissions_from_readings(readings: DataFrame) -> DataFrame:
-    """Test submissions built from readings: one per sensor and ISO week, arrays in time order (a week of one
-    sensor is a request-sized array). External sensors submit without an id and with 'Z' timestamps."""
+MAX_SUBMISSION = 10_000   # readings per request; a longer week of one sensor becomes several submissions
+
+
+def submissions_from_readings(readings: DataFrame, max_readings: int = MAX_SUBMISSION) -> DataFrame:
+    """Test submissions built from readings: one per sensor and ISO week, arrays in time order. A week with more
+    than ``max_readings`` readings is split into consecutive parts (ids get '#part'), so every collected array
+    is request-sized even for a hot sensor; the global row numbers come from the skew-safe series frame."""
+    from soilcast.operators.windows import HALO, series_frame
+
     week = F.date_trunc("week", F.col("event_time")).cast("timestamp_ntz")
     ext = F.col("sensor_id").startswith("EXT-")
     iso = F.date_format(F.col("event_time"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    r = readings.select("sensor_id", week.alias("week"), "event_time", "event_id", "soil_moisture",
-                        F.when(ext, F.concat(iso, F.lit("Z"))).otherwise(iso).alias("ts_text"))
-    g = r.groupBy("sensor_id", "week").agg(
+    r = series_frame(readings.select("sensor_id", "event_time", "event_id", "soil_moisture"), 0).where(~F.col(HALO))
+    r = r.select("sensor_id", week.alias("week"), "event_time", "event_id", "soil_moisture", "rn",
+                 F.when(ext, F.concat(iso, F.lit("Z"))).otherwise(iso).alias("ts_text"))
+    first = r.groupBy("sensor_id", "week").agg(F.min("rn").alias("_rn0"))
+    r = r.join(first, ["sensor_id", "week"]).withColumn(
+        "part", F.floor((F.col("rn") - F.col("_rn0")) / F.lit(max_readings)).cast("int"))
+    g = r.groupBy("sensor_id", "week", "part").agg(
         F.sort_array(F.collect_list(F.struct("event_time", "event_id", "soil_moisture", "ts_text"))).alias("s"))
     return g.select(
-        F.concat(F.col("sensor_id"), F.lit("/"), F.date_format("week", "yyyy-MM-dd")).alias("submission_id"),
+        F.concat(F.col("sensor_id"), F.lit("/"), F.date_format("week", "yyyy-MM-dd"),
+                 F.when(F.col("part") > 0, F.concat(F.lit("#"), F.col("part").cast("string"))).otherwise(F.lit(""))
+                 ).alias("submission_id"),
         F.when(F.col("sensor_id").startswith("EXT-"), F.lit(None).cast("string")).otherwise(F.col("sensor_id")).alias("sensor_id"),
         F.transform("s", lambda x: x["soil_moisture"]).alias("moisture_readings"),
         F.transform("s", lambda x: x["ts_text"]).alias("timestamps"))

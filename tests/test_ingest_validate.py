@@ -66,3 +66,14 @@ def test_validate_submission_reasons(spark):
     assert res["ts"].reason == SUBMISSION_REASONS[3]
     rows = submitted_series(df.where(F.col("submission_id") == "ok")).collect()
     assert [r.event_id for r in rows] == list(range(10))
+
+
+def test_submissions_split_long_weeks(spark):
+    """A week longer than the request size becomes consecutive parts; no reading is dropped."""
+    from conftest import series_df
+    from soilcast.sources.submissions import submissions_from_readings
+    df = series_df(spark, "SENSOR-1", [0.5] * 50, step_hours=0.05)
+    subs = submissions_from_readings(df, max_readings=20).collect()
+    sizes = sorted(len(s.moisture_readings) for s in subs)
+    assert sum(sizes) == 50 and max(sizes) <= 20
+    assert all(list(s.timestamps) == sorted(s.timestamps) for s in subs)
