@@ -4,8 +4,9 @@ For a fixed tau the model is linear in (A, offset), so the least-squares fit sep
 Golub & Pereyra 1973): one aggregate per (sensor, tau) collects n, Σe, Σe², Σy, Σey, Σy² with e = exp(-t/tau),
 the box-constrained (A, offset) follows in closed form, and tau is searched coarse-to-fine: 10..500 by 10, then
 41 values around the best at steps 0.5, 0.025 and 0.00125. Each pass is one join of the sensor's points with
-its own tau grid and one aggregate; both keep the points' hash partitioning on sensor_id, so the passes add no
-shuffle of the points. Points are the newest 168 readings of a sensor (a bounded group)."""
+its own tau grid and one aggregate keyed by sensor. Points are the newest 168 readings of a sensor (a bounded
+group, cut out of the input by a partial top-n before any shuffle and checkpointed once), so every exchange of
+the passes moves at most 168 x 50 rows per sensor, never the input."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -116,9 +117,9 @@ def decay_fit(readings: DataFrame, tail: int = S.DECAY_TAIL, min_points: int = S
     """Per sensor: A, tau, offset, R², confidence = clamp(R², 0.3, 0.95), fitted (>= 10 points), and the facts
     needed to evaluate the model (start/current time, hours of the newest point, current moisture)."""
     # The points (<= 168 per sensor) are read by five passes. They are written once to the shared checkpoint
-    # folder (reliable checkpoint: lineage is cut, a lost executor costs a re-read, and the hash partitioning on
-    # sensor_id is kept, so no pass moves points again). The plan of each pass then starts from one leaf instead
-    # of repeating the tail sub-plan, which also keeps driver-side planning small.
+    # folder (reliable checkpoint: lineage is cut and a lost executor costs a re-read of the checkpoint, not of
+    # the input). Each pass then starts from one leaf instead of repeating the tail sub-plan, which keeps
+    # driver-side planning small; the exchanges of the passes move only these bounded points.
     from soilcast.session import cut_lineage
     pts = cut_lineage(decay_points(readings, tail).where(F.col("n_points") >= min_points))
     spark = readings.sparkSession

@@ -79,14 +79,10 @@ def forest_arrays(model) -> dict:
         "threshold": np.where(leaf, 0.0, nodes["threshold"].fillna(0.0).values).astype(np.float64),
         "left": left.astype(np.int64), "right": right.astype(np.int64),
         "value": nodes["prediction"].values.astype(np.float64), "leaf": leaf,
-        "depth": int(max_depth_of(model)),
+        "depth": int(model.getOrDefault("maxDepth")),   # leaves self-loop, so the bound is enough
     }
 
 
-def max_depth_of(model) -> int:
-    return max(t.depth for t in model.trees)
-
-
 def predict_arrays(arr: dict, x: np.ndarray) -> np.ndarray:
     """Mean of all trees' leaf values for feature rows ``x`` (B x 13), every tree traversed at once."""
     b = x.shape[0]
@@ -113,8 +109,8 @@ def features_from_history(hist: np.ndarray, hour, dow, season, extra_days, env=S
 
 
 CURVE_SCHEMA = T.StructType([
-    T.StructField("sensor_id", T.StringType()), T.StructField("hours_from_now", T.IntegerType()),
-    T.StructField("predicted_moisture", T.DoubleType())])
+    T.StructField("sensor_id", T.StringType()), T.StructField("current_time", T.TimestampNTZType()),
+    T.StructField("hours_from_now", T.IntegerType()), T.StructField("predicted_moisture", T.DoubleType())])
 
 
 def _rollout_fn(bc, horizon: int):
@@ -141,6 +137,7 @@ def _rollout_fn(bc, horizon: int):
                 hist = np.concatenate([hist[:, 1:], p[:, None]], axis=1)
             yield pd.DataFrame({
                 "sensor_id": np.repeat(pdf["sensor_id"].values, horizon + 1),
+                "current_time": np.repeat(pdf["current_time"].values, horizon + 1),
                 "hours_from_now": np.tile(np.arange(horizon + 1, dtype=np.int32), b),
                 "predicted_moisture": out.reshape(-1)})
     return run
@@ -163,8 +160,7 @@ def forest_curve(seeds: DataFrame, model_arrays: dict, horizon: int = S.HORIZON_
     spark = seeds.sparkSession
     bc = spark.sparkContext.broadcast(model_arrays)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pts = seeds.repartition(n, "sensor_id").mapInPandas(_rollout_fn(bc, horizon), CURVE_SCHEMA)
-    j = pts.join(seeds.select("sensor_id", "current_time"), "sensor_id")
+    j = seeds.repartition(n, "sensor_id").mapInPandas(_rollout_fn(bc, horizon), CURVE_SCHEMA)
     m = F.col("predicted_moisture")
     conf = F.greatest(F.lit(0.3), F.lit(confidence) * (F.lit(1.0) - F.col("hours_from_now") / F.lit(2.0 * horizon)))
     return j.select("sensor_id", "hours_from_now", add_hours(F.col("current_time"), F.col("hours_from_now")).alias("timestamp"),
