@@ -16,8 +16,14 @@ def add_hours(ts: Column, hours: Column | int) -> Column:
 
 
 def hour_bucket(ts: Column) -> Column:
-    """Truncate to the hour; date_trunc yields TIMESTAMP, cast back to NTZ (session zone is UTC)."""
-    return F.date_trunc("HOUR", ts).cast("timestamp_ntz")
+    """Truncate a TIMESTAMP_NTZ to the hour from its calendar fields (independent of the session time zone,
+    unlike date_trunc, which goes through TIMESTAMP)."""
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))
+
+
+def week_start(ts: Column) -> Column:
+    """Monday 00:00 of the ISO week of a TIMESTAMP_NTZ (zone-independent)."""
+    return F.date_sub(F.to_date(ts), F.weekday(ts)).cast("timestamp_ntz")
 
 
 def weekday(ts: Column) -> Column:
@@ -30,10 +36,24 @@ def season(ts: Column) -> Column:
     return F.floor((F.month(ts) % 12) / 3).cast("int")
 
 
+ZONE_SUFFIX = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
 def parse_iso(text: Column) -> Column:
-    """ISO-8601 text to TIMESTAMP_NTZ in UTC; 'Z' and offsets accepted; unparsable text gives null."""
-    return F.coalesce(
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX][X]")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX][X]")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd")),
+    """ISO-8601 text to TIMESTAMP_NTZ in UTC; a 'Z' or +hh:mm suffix is applied as an offset, text without one
+    is taken as UTC wall time. Unparsable text gives null. The wall time is parsed with the suffix removed and
+    the offset subtracted arithmetically, so the result does not depend on the session time zone."""
+    t = F.trim(text)
+    zone = F.regexp_extract(t, ZONE_SUFFIX, 1)
+    local = F.regexp_replace(t, ZONE_SUFFIX, "")
+    wall = F.coalesce(
+        F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")),
+        F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]")),
+        F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm")),
+        F.try_to_timestamp(local, F.lit("yyyy-MM-dd")),
     ).cast("timestamp_ntz")
+    hh = F.regexp_extract(zone, r"^[+-]([0-9]{2})", 1)
+    mm = F.regexp_extract(zone, r"^[+-][0-9]{2}:?([0-9]{2})$", 1)
+    sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    offset = F.when((zone == "") | (zone == "Z"), F.lit(0)).otherwise(sign * (hh.cast("int") * 60 + mm.cast("int")))
+    return F.timestamp_add("MINUTE", -offset, wall)

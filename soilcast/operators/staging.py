@@ -16,9 +16,10 @@ def as_of_column(readings: DataFrame, as_of=None) -> Column:
         return readings.select(F.max("event_time")).scalar()
     if isinstance(as_of, Column):
         return as_of
-    if isinstance(as_of, str):
-        as_of = _dt.datetime.fromisoformat(as_of)
-    return F.lit(as_of).cast("timestamp_ntz")
+    if isinstance(as_of, _dt.datetime):
+        as_of = as_of.isoformat(sep=" ")
+    # a string literal cast to TIMESTAMP_NTZ keeps the wall time whatever the session time zone
+    return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
 def staging_readings(readings: DataFrame, as_of=None, days: int = 30) -> DataFrame:

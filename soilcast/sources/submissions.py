@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from soilcast import schema as S
-from soilcast.functions.timefn import parse_iso
+from soilcast.functions.timefn import parse_iso, week_start
 
 # Fixed texts of the submission checks, in the order they are applied.
 SUBMISSION_REASONS = [
@@ -24,7 +24,7 @@ def submissions_from_readings(readings: DataFrame, max_readings: int = MAX_SUBMI
     is request-sized even for a hot sensor; the global row numbers come from the skew-safe series frame."""
     from soilcast.operators.windows import HALO, series_frame
 
-    week = F.date_trunc("week", F.col("event_time")).cast("timestamp_ntz")
+    week = week_start(F.col("event_time"))
     ext = F.col("sensor_id").startswith("EXT-")
     iso = F.date_format(F.col("event_time"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     r = series_frame(readings.select("sensor_id", "event_time", "event_id", "soil_moisture"), 0).where(~F.col(HALO))

@@ -77,3 +77,14 @@ def test_submissions_split_long_weeks(spark):
     sizes = sorted(len(s.moisture_readings) for s in subs)
     assert sum(sizes) == 50 and max(sizes) <= 20
     assert all(list(s.timestamps) == sorted(s.timestamps) for s in subs)
+
+
+def test_parse_iso_offsets(spark):
+    from soilcast.functions.timefn import parse_iso
+    df = spark.createDataFrame([("2025-09-30T10:00:00",), ("2025-09-30T10:00:00Z",), ("2025-09-30T12:30:00+02:30",),
+                                ("2025-09-30T05:00:00.250000-05:00",), ("2025-09-30 10:00:00",), ("30/09/2025",)], "t string")
+    got = [r.p for r in df.select(parse_iso(F.col("t")).alias("p")).collect()]
+    import datetime as dt
+    ten = dt.datetime(2025, 9, 30, 10, 0)
+    assert got[:3] == [ten, ten, ten] and got[3] == dt.datetime(2025, 9, 30, 10, 0, 0, 250000)
+    assert got[4] == ten and got[5] is None

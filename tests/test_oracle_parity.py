@@ -37,3 +37,13 @@ def test_entry_contract(spark):
     assert set(o) <= set(q)
     df = E.entry(spark)
     assert df.count() >= 0 and len(df.columns) > 5
+
+
+@pytest.mark.parametrize("key", ["hourly_rollup", "parse_iso_time", "rebase_time", "predict_submission"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, key):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        r = compare(spark, key, SF001, con)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert r.get("values_ok"), r
