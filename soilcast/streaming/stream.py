@@ -18,25 +18,38 @@ def message_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema:
     return r.load(path)
 
 
+class IngestQueries:
+    """The two streaming queries of an ingest (readings table and reject sink)."""
+
+    def __init__(self, table, rejects):
+        self.table, self.rejects = table, rejects
+
+    def awaitTermination(self, timeout: float | None = None) -> None:
+        for q in (self.table, self.rejects):
+            q.awaitTermination(timeout)
+
+    def stop(self) -> None:
+        for q in (self.table, self.rejects):
+            q.stop()
+
+
 def stream_ingest(messages: DataFrame, table_path: str, reject_path: str, checkpoint: str,
-                  dedup: bool = False, watermark: str = "2 hours", trigger: dict | None = None):
-    """Parse every micro-batch once; valid rows are appended to the readings table (day partitions) and
-    rejects, with their reason, to the reject sink. The checkpoint makes the sink exactly-once on restart."""
+                  dedup: bool = False, watermark: str = "2 hours", trigger: dict | None = None) -> IngestQueries:
+    """Valid messages are appended to the readings table (day partitions); rejects, with their reason, to the
+    reject sink. Each sink is Spark's file sink with its own checkpoint: files are committed through the
+    sink's metadata log, so a retried micro-batch (lost executor, restart) never duplicates rows."""
     parsed = parse_messages(messages)
     if dedup:
         parsed = stream_dedup(parsed, watermark)
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        ok = batch.where(F.col("reject_reason").isNull()).drop("reject_reason")
-        ok.withColumn("event_date", F.to_date("event_time")).write.mode("append").partitionBy("event_date") \
-            .parquet(table_path)
-        batch.where(F.col("reject_reason").isNotNull()).write.mode("append").parquet(reject_path)
-        batch.unpersist()
-
-    w = parsed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
+    trig = trigger or {"availableNow": True}
+    ok = parsed.where(F.col("reject_reason").isNull()).drop("reject_reason") \
+        .withColumn("event_date", F.to_date("event_time"))
+    bad = parsed.where(F.col("reject_reason").isNotNull())
+    q1 = ok.writeStream.format("parquet").partitionBy("event_date").outputMode("append") \
+        .option("checkpointLocation", f"{checkpoint.rstrip('/')}/table").trigger(**trig).start(table_path)
+    q2 = bad.writeStream.format("parquet").outputMode("append") \
+        .option("checkpointLocation", f"{checkpoint.rstrip('/')}/rejects").trigger(**trig).start(reject_path)
+    return IngestQueries(q1, q2)
 
 
 def _event_ts(df: DataFrame) -> DataFrame:
