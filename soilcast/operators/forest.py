@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from soilcast import schema as S
 from soilcast.functions.status import threshold_colour, threshold_status, urgency_level
@@ -58,7 +58,9 @@ def forest_train(training_rows: DataFrame, num_trees: int = S.FOREST_TREES, seed
 def forest_arrays(model) -> dict:
     """Flat node arrays of all trees. The model is saved under the shared checkpoint folder and its node table
     read back with Spark; its size is bounded by the model parameters."""
-    spark = model._java_obj and __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
     path = scratch_path(spark, f"forest-{uuid.uuid4().hex}")
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select(

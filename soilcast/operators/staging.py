@@ -6,7 +6,6 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from soilcast import schema as S
-from soilcast.functions.timefn import hours_between
 
 
 def as_of_column(readings: DataFrame, as_of=None) -> Column:
@@ -118,6 +117,3 @@ def recent_slice(readings: DataFrame, days: float, as_of=None) -> DataFrame:
     start = F.timestamp_add("MINUTE", F.lit(int(-days * 1440)), as_of_column(readings, as_of))
     return readings.where(F.col("event_time") >= start)
 
-
-def reading_hours(start: Column, end: Column) -> Column:
-    return hours_between(start, end)

@@ -2,10 +2,10 @@
 event_id), so Catalyst plans one shuffle + one sort for every window column of a query."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from soilcast import schema as S
-from soilcast.functions.timefn import hour_bucket, hours_between, season, weekday
+from soilcast.functions.timefn import hours_between, season, weekday
 
 
 def order_cols(df: DataFrame) -> list[str]:
@@ -280,6 +280,3 @@ def linear_rate(readings: DataFrame, n: int = S.LINEAR_TAIL, floor_rate: float =
                                                / F.greatest(F.col("span_h"), F.lit(1.0)))).otherwise(F.lit(default_rate))
     return p.select("sensor_id", F.col("k").alias("rate_readings"), rate.alias("decay_rate"))
 
-
-def hourly_bucket(ts: Column) -> Column:
-    return hour_bucket(ts)

@@ -12,7 +12,6 @@ from soilcast.functions import status as ST
 from soilcast.functions.timefn import add_hours
 from soilcast.operators import decay, forest, health, linear, staging
 from soilcast.operators.marts import choose_method
-from soilcast.operators.report import curve_crossing
 from soilcast.operators.windows import drying_rate
 from soilcast.sources.readings import latest_readings
 

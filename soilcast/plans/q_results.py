@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from soilcast.operators import decay, forest, health, report, staging
-from soilcast.operators.linear import current_reading
 from soilcast.plans import predict as P
 from soilcast.plans.catalog import READINGS_CTE, query, r9, readings, with_readings
 from soilcast.plans.q_forecast import CROSS_CTE, CURVE_CTE, DECAY_CTES
@@ -241,8 +240,7 @@ def q_predict_submission(spark, sf):
 # ---- messages ------------------------------------------------------------------------------------------------
 
 def _messages(spark, sf):
-    return M.messages_from_readings(readings_from_events(table(spark, sf, "events"), keep_type=True).withColumn(
-        "event_type", F.col("event_type")))
+    return M.messages_from_readings(readings_from_events(table(spark, sf, "events"), keep_type=True))
 
 
 MSG_SQL = with_readings("""

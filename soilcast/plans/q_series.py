@@ -1,8 +1,6 @@
 """Registered queries: window operators and per-sensor series statistics."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from soilcast.operators import windows as W
 from soilcast.plans.catalog import query, r9, readings, with_readings
 

@@ -18,10 +18,6 @@ def _num(v: Column) -> Column:
     return v.try_cast("double")
 
 
-def _json_num(v: Column) -> str:
-    return v
-
-
 def messages_from_readings(readings: DataFrame) -> DataFrame:
     """Test messages built from readings: full keys, short keys for event type 'click', and an explicit null
     first key for 'error' (so the value under the short key must be ignored)."""
