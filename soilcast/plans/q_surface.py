@@ -36,7 +36,7 @@ SELECT sensor_id, date_trunc('hour', event_time) AS hour_bucket,
        round(avg(temperature_c), 9) AS avg_temp_c, min(temperature_c) AS min_temp_c, max(temperature_c) AS max_temp_c,
        round(avg(humidity_pct), 9) AS avg_humidity, min(humidity_pct) AS min_humidity, max(humidity_pct) AS max_humidity,
        round(avg(soil_moisture), 9) AS avg_moisture, min(soil_moisture) AS min_moisture, max(soil_moisture) AS max_moisture,
-       count(*) AS reading_count, count_if(soil_moisture < 0.15) AS anomaly_count
+       count(*) AS reading_count, CAST(count_if(soil_moisture < 0.15) AS BIGINT) AS anomaly_count
 FROM readings GROUP BY 1, 2"""))
 def q_hourly_rollup(spark, sf):
     df = marts.hourly_rollup(readings(spark, sf))
