@@ -47,3 +47,21 @@ def test_results_do_not_depend_on_session_time_zone(spark, con, key):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert r.get("values_ok"), r
+
+
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE", "decimal(2,1)": "DECIMAL(2,1)"}
+
+
+def test_column_types_match_oracle(spark, con):
+    """Every registered oracle returns the same column types as its Spark query."""
+    import __spark_entry__ as E
+    bad = {}
+    for k, sql in sorted(E.oracle_sql().items()):
+        st = {f.name: f.dataType.simpleString() for f in E.queries()[k](spark, SF001).schema.fields}
+        rel = con.sql(sql)
+        dt = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        diff = {c: (t, dt.get(c)) for c, t in st.items() if SPARK_TO_DUCK.get(t, t) != dt.get(c)}
+        if diff:
+            bad[k] = diff
+    assert not bad, bad
