@@ -58,3 +58,26 @@ def test_forest_forecast_equals_brute_force(spark):
             assert row.predicted_moisture == g.iloc[-1].predicted_moisture
         assert row.critical_time == cc.get(sid)
     c.unpersist()
+
+
+def test_compat_global_limit(spark):
+    """Q8: the service analyses the newest N rows over all sensors together; sensors left with < 10 rows
+    are dropped to the rejects."""
+    from soilcast.sources.readings import latest_readings
+    r = load_readings(spark, SF001)
+    a = P.analyze(r, compat_limit=300, use_forest=False, method="exponential")
+    newest = latest_readings(r, 300)
+    per = {x.sensor_id: x["count"] for x in newest.groupBy("sensor_id").count().collect()}
+    res = {x.sensor_id: x.samples_used for x in a.results.collect()}
+    rej = {x.sensor_id for x in a.rejects.collect()}
+    assert res == {k: v for k, v in per.items() if v >= 10}
+    assert rej == {k for k, v in per.items() if v < 10}
+
+
+def test_readings_records_json(spark):
+    import json
+    from soilcast.operators.staging import readings_records
+    from soilcast.sources.readings import latest_readings
+    rec = readings_records(latest_readings(load_readings(spark, SF001), 5), as_json=True).collect()
+    obj = json.loads(rec[0].record)
+    assert {"sensor_id", "timestamp", "temperature", "humidity", "soil_moisture"} <= set(obj)
