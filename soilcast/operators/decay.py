@@ -170,14 +170,15 @@ def decay_crossing(fit: DataFrame, threshold: float = S.WATERING_THRESHOLD, hori
         urgency_level(F.col("hours_from_now")).alias("urgency"),
         add_hours(F.col("current_time"), whole).alias("predicted_time"),
         F.col("confidence"),
-        F.format_string("Exponential decay prediction (R² = %.3f)", F.col("r_squared")).alias("message"))
+        F.format_string("Exponential decay prediction (R² = %.3f)", F.col("r_squared")).alias("message"),
+        add_hours(F.col("current_time"), critical_hour()).alias("critical_time"))
 
 
-def decay_critical(fit: DataFrame, critical: float = S.CRITICAL_THRESHOLD, horizon: int = S.HORIZON_HOURS) -> DataFrame:
+def critical_hour(critical: float = S.CRITICAL_THRESHOLD, horizon: int = S.HORIZON_HOURS) -> Column:
     """First whole hour h in [0, horizon] whose clamped curve value is at or below ``critical`` — the first
-    CRITICAL point of ``decay_curve`` without building the curve. The curve is non-increasing (A >= 0, exp is
-    semi-monotonic), so the answer is next to ceil(tau ln(A / (critical - offset)) - t_now); the neighbours
-    are checked with the very expression the curve uses, so the result equals the curve's."""
+    CRITICAL point of ``decay_curve`` without building the curve (null if none). The curve is non-increasing
+    (A >= 0, exp is semi-monotonic), so the answer is next to ceil(tau ln(A / (critical - offset)) - t_now);
+    the neighbours are checked with the very expression the curve uses, so the result equals the curve's."""
     a, tau, o, t = F.col("A"), F.col("tau"), F.col("offset"), F.col("t_now")
 
     def value(h: Column) -> Column:
@@ -188,9 +189,13 @@ def decay_critical(fit: DataFrame, critical: float = S.CRITICAL_THRESHOLD, horiz
     guess = F.least(F.greatest(guess, F.lit(0)), F.lit(horizon))
     cands = F.filter(F.array(guess - 1, guess, guess + 1, F.lit(horizon)),
                      lambda h: (h >= 0) & (h <= horizon) & (value(h) <= F.lit(critical)))
-    first = F.array_min(cands)
-    return fit.select("sensor_id", first.cast("int").alias("critical_hour"),
-                      add_hours(F.col("current_time"), first.cast("int")).alias("critical_time"))
+    return F.array_min(cands).cast("int")
+
+
+def decay_critical(fit: DataFrame, critical: float = S.CRITICAL_THRESHOLD, horizon: int = S.HORIZON_HOURS) -> DataFrame:
+    first = critical_hour(critical, horizon)
+    return fit.select("sensor_id", first.alias("critical_hour"),
+                      add_hours(F.col("current_time"), first).alias("critical_time"))
 
 
 def decay_curve(fit: DataFrame, horizon: int = S.HORIZON_HOURS) -> DataFrame:

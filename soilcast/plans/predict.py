@@ -18,9 +18,10 @@ from soilcast.sources.readings import latest_readings
 
 @dataclass
 class Analysis:
-    results: DataFrame      # one row per analysed sensor
+    results: DataFrame      # one row per analysed sensor: forecast + health + drying rates + recommendations
     curves: DataFrame       # 337 rows per analysed sensor
     rejects: DataFrame      # sensors that failed validation, with the reason
+    forecasts: DataFrame    # one row per analysed sensor: the forecast and status only (a leaner plan)
 
 
 def _series(readings: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bo
     # exponential sensors: decay fit (always fitted with >= 10 points), crossing and curve
     fit = decay.decay_fit(s.join(exp_ids, "sensor_id", "left_semi"))
     cross = decay.decay_crossing(fit)
-    pred_exp = cross.join(decay.decay_critical(fit), "sensor_id").select(
+    pred_exp = cross.select(
         "sensor_id", "hours_from_now", "predicted_moisture", "urgency", "confidence", "predicted_time", "message",
         F.lit("exponential").alias("method_effective"), F.col("confidence").alias("model_confidence"),
         F.col("critical_time").alias("curve_critical_time"))
@@ -99,11 +100,12 @@ def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bo
         "critical_watering_date",
         F.when(F.col("urgency") == "CRITICAL", F.col("predicted_watering_date"))
          .when(F.col("urgency") == "HIGH", add_hours(F.col("predicted_watering_date"), 12)))
+    forecasts = res
     hm = health.health_metrics(s)
     res = res.join(hm.drop("current_moisture"), "sensor_id").join(drying_rate(s), "sensor_id")
     res = res.withColumn("recommendations", health.recommendations(F.col("health_score"), F.col("urgency"),
                                                                    F.col("moisture_stability")))
-    return Analysis(results=res, curves=curves, rejects=rejects)
+    return Analysis(results=res, curves=curves, rejects=rejects, forecasts=forecasts)
 
 
 RESULT_COLUMNS = ["sensor_id", "current_moisture", "status", "predicted_watering_date", "critical_watering_date",
@@ -120,8 +122,9 @@ def predict_batch(readings: DataFrame, **kw) -> DataFrame:
 
 
 def sensor_status(readings: DataFrame, **kw) -> DataFrame:
+    """Current moisture, status from the forecast urgency, newest reading time (no health metrics needed)."""
     a = analyze(readings, **kw)
-    return a.results.select("sensor_id", "current_moisture", "status", F.col("current_time").alias("last_reading"))
+    return a.forecasts.select("sensor_id", "current_moisture", "status", F.col("current_time").alias("last_reading"))
 
 
 # ---- submitted series ---------------------------------------------------------------------------------------

@@ -369,5 +369,5 @@ def q_forest_forecast(spark, sf):
 @query("urgency_status", analysis_sql("SELECT sensor_id, urgency, status FROM res3"))
 def q_urgency_status(spark, sf):
     from soilcast.functions.status import urgency_status
-    r = P.analyze(readings(spark, sf), use_forest=False, method="exponential").results
+    r = P.analyze(readings(spark, sf), use_forest=False, method="exponential").forecasts
     return r.select("sensor_id", "urgency", urgency_status(F.col("urgency")).alias("status"))
