@@ -40,12 +40,16 @@ def decay_points(readings: DataFrame, tail: int = S.DECAY_TAIL) -> DataFrame:
                     "start_time", "current_time", "current_moisture", "n_points")
 
 
+def cpu_partitions(spark) -> int:
+    """Partitions for a CPU-bound step on bounded data: twice the cluster's cores (for balance)."""
+    return max(1, 2 * spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, key: str = "sensor_id") -> DataFrame:
-    """Hash-partition a bounded per-sensor frame over ``spark.sql.shuffle.partitions`` partitions. The grid
-    search is CPU-bound on few rows: without this, AQE would coalesce the small shuffle into a task or two.
-    A user-numbered repartition is kept as is by AQE, and every later join/aggregate on the key reuses it."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key)
+    """Hash-partition a bounded per-sensor frame over the cluster's cores. The grid search is CPU-bound on
+    few rows: without this, AQE would coalesce the small shuffle into a task or two. A user-numbered
+    repartition is kept as is by AQE."""
+    return df.repartition(cpu_partitions(df.sparkSession), key)
 
 
 def _clamp(c: Column, lo: float, hi: float) -> Column:

@@ -161,8 +161,9 @@ def forest_curve(seeds: DataFrame, model_arrays: dict, horizon: int = S.HORIZON_
     """337 points per sensor: h = 0 is the newest reading, h >= 1 the recursive forest prediction."""
     spark = seeds.sparkSession
     bc = spark.sparkContext.broadcast(model_arrays)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    j = seeds.repartition(n, "sensor_id").mapInPandas(_rollout_fn(bc, horizon), CURVE_SCHEMA)
+    from soilcast.operators.decay import cpu_partitions
+
+    j = seeds.repartition(cpu_partitions(spark), "sensor_id").mapInPandas(_rollout_fn(bc, horizon), CURVE_SCHEMA)
     m = F.col("predicted_moisture")
     conf = F.greatest(F.lit(0.3), F.lit(confidence) * (F.lit(1.0) - F.col("hours_from_now") / F.lit(2.0 * horizon)))
     return j.select("sensor_id", "hours_from_now", add_hours(F.col("current_time"), F.col("hours_from_now")).alias("timestamp"),
