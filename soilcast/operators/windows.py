@@ -27,14 +27,21 @@ def skew_rows(spark) -> int:
     return int(spark.conf.get("soilcast.skewRows", str(SKEW_ROWS)))
 
 
+_TOP_ROWS: dict[int, int] = {}
+
+
 def has_hot_sensor(df: DataFrame) -> bool:
     """True when some sensor holds more rows than the skew threshold. One partially aggregated count per
-    sensor and a single max come back to the driver (a scalar)."""
+    sensor and a single max come back to the driver (a scalar). The count is remembered per input plan
+    (semantic hash): both window strategies give identical rows, so a stale count could only cost speed."""
     limit = skew_rows(df.sparkSession)
     if limit <= 0:
         return True
-    top = df.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0]
-    return top is not None and top > limit
+    key = df.semanticHash()
+    if key not in _TOP_ROWS:
+        top = df.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0]
+        _TOP_ROWS[key] = int(top or 0)
+    return _TOP_ROWS[key] > limit
 
 
 def series_frame(df: DataFrame, halo: int) -> DataFrame:
