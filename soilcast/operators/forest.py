@@ -21,7 +21,19 @@ from soilcast.session import scratch_path
 
 MAX_DEPTH = 10
 MAX_BINS = 64
-MAX_MEMORY_MB = 1024   # histogram memory per iteration: more tree nodes split per pass over the data
+MAX_MEMORY_MB = 1024   # upper bound of the histogram memory per task and pass (more nodes split per pass)
+
+
+def histogram_memory_mb(spark) -> int:
+    """maxMemoryInMB for the forest: half the heap share of one concurrent task, at most MAX_MEMORY_MB."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        heap_mb = sc._jvm.java.lang.Runtime.getRuntime().maxMemory() / 2 ** 20
+        cores = sc.defaultParallelism
+    else:
+        heap_mb = sc._jvm.org.apache.spark.util.Utils.memoryStringToMb(spark.conf.get("spark.executor.memory", "1g"))
+        cores = int(spark.conf.get("spark.executor.cores", "1"))
+    return int(min(MAX_MEMORY_MB, max(32, heap_mb / (2 * cores))))
 ML_CONFIDENCE = 0.85
 NONE_CONFIDENCE = 0.6
 
@@ -44,11 +56,15 @@ def forest_train(training_rows: DataFrame, num_trees: int = S.FOREST_TREES, seed
 
     # the fit scans its input several times (split candidates, metadata, bagging): materialise the window-built
     # rows once for the duration of the (eager) fit; lost blocks are recomputed from lineage
+    from soilcast.operators.decay import cpu_partitions
+
+    # balanced partitions, two per core: every tree level is one pass of that many tasks
     data = VectorAssembler(inputCols=FEATURE_NAMES, outputCol="features").transform(training_rows) \
-        .select("features", F.col("target").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
+        .select("features", F.col("target").alias("label")) \
+        .repartition(cpu_partitions(training_rows.sparkSession)).persist(StorageLevel.MEMORY_AND_DISK)
     rf = RandomForestRegressor(numTrees=num_trees, seed=seed, maxDepth=max_depth, maxBins=max_bins,
                                featureSubsetStrategy="all", labelCol="label", featuresCol="features",
-                               maxMemoryInMB=MAX_MEMORY_MB, cacheNodeIds=True)
+                               maxMemoryInMB=histogram_memory_mb(training_rows.sparkSession), cacheNodeIds=True)
     try:
         return rf.fit(data)
     finally:
@@ -156,9 +172,20 @@ def forest_seeds(readings: DataFrame, history: int = S.HISTORY) -> DataFrame:
                     "current_time", "current_moisture")
 
 
+def _ship_by_value() -> None:
+    """Pickle this module's roll-out functions by value, so Python workers need no installed copy of the
+    package (a cluster would still ship it with --py-files; this keeps the task self-contained)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def forest_curve(seeds: DataFrame, model_arrays: dict, horizon: int = S.HORIZON_HOURS,
                  confidence: float = ML_CONFIDENCE) -> DataFrame:
     """337 points per sensor: h = 0 is the newest reading, h >= 1 the recursive forest prediction."""
+    _ship_by_value()
     spark = seeds.sparkSession
     bc = spark.sparkContext.broadcast(model_arrays)
     from soilcast.operators.decay import cpu_partitions
