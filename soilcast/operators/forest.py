@@ -84,6 +84,7 @@ def forest_arrays(model) -> dict:
         F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
         F.try_element_at(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(1)).alias("threshold")).toPandas()
+    _delete(spark, path)                       # the node table now lives in the driver; drop the saved copy
     nodes = nodes.sort_values(["treeID", "id"]).reset_index(drop=True)
     sizes = nodes.groupby("treeID").size().sort_index()
     offsets = np.concatenate([[0], np.cumsum(sizes.values)[:-1]])
@@ -101,6 +102,13 @@ def forest_arrays(model) -> dict:
     }
 
 
+def _delete(spark, path: str) -> None:
+    """Remove a scratch folder of this job from the shared checkpoint storage (Hadoop FileSystem API)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def predict_arrays(arr: dict, x: np.ndarray) -> np.ndarray:
     """Mean of all trees' leaf values for feature rows ``x`` (B x 13), every tree traversed at once."""
     b = x.shape[0]
