@@ -107,3 +107,16 @@ def test_curves_shape(spark):
     assert all(a >= b - 1e-15 for a, b in zip(m, m[1:]))
     lc = linear.linear_curve(df).orderBy("hours_from_now").collect()
     assert len(lc) == 337 and all(a.predicted_moisture >= b.predicted_moisture for a, b in zip(lc, lc[1:]))
+
+
+def test_submission_with_ml_path(spark):
+    """A submission with >= 50 readings takes the forest path (pooled over such submissions)."""
+    t60 = [(dt.datetime(2025, 9, 1) + dt.timedelta(hours=i)).isoformat() for i in range(60)]
+    m60 = [round(0.9 - 0.009 * i + (0.25 if i in (20, 40) else 0.0), 4) for i in range(60)]
+    subs = spark.createDataFrame([("long", None, m60, t60), ("golden", "my-garden-sensor", SUB_READINGS, SUB_TIMES)],
+                                 "submission_id string, sensor_id string, moisture_readings array<double>, timestamps array<string>")
+    out = {r.submission_id: r for r in P.predict_submission(subs).collect()}
+    assert set(out) == {"long", "golden"}
+    assert out["long"].samples_used == 60 and out["long"].sensor_id == "external-sensor"
+    assert out["long"].model_accuracy == pytest.approx(0.85)
+    assert out["golden"].predicted_watering_date == dt.datetime(2025, 9, 10, 10) + dt.timedelta(hours=95)
