@@ -78,3 +78,28 @@ def test_operators_chunked_equal_plain(spark, skewed):
         assert a[0] == b[0] and a[2] == b[2] and abs(a[1] - b[1]) < 1e-12
     assert sorted(map(tuple, feats_c)) == sorted(map(tuple, feats_p))
     assert sorted(map(tuple, split_c)) == sorted(map(tuple, split_p))
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(days=st.lists(st.integers(0, 40), min_size=1, max_size=8), halo=st.integers(1, 30), seed=st.integers(0, 999))
+def test_chunked_property(spark, days, halo, seed):
+    """Random per-day densities (including empty and sparse days) and halo sizes: chunked == whole-series."""
+    rnd = random.Random(seed)
+    t0 = dt.datetime(2024, 3, 1)
+    rows = [(i, "S", t0 + dt.timedelta(days=d, seconds=rnd.randint(0, 86399)), 20.0, 50.0, rnd.random(), None)
+            for i, (d, _) in enumerate((d, k) for d, n in enumerate(days) for k in range(n))]
+    if not rows:
+        return
+    df = spark.createDataFrame(rows, READINGS)
+    c = W.chunked_series(df, halo)
+    w = W.chunk_window(df)
+    got = {r.event_id: (r.rn, r.lagh, r.s) for r in c.select(
+        "event_id", "rn", W.HALO, F.lag("soil_moisture", halo).over(w).alias("lagh"),
+        F.sum("soil_moisture").over(w.rowsBetween(-halo, 0)).alias("s")).where(~F.col(W.HALO)).collect()}
+    exp = {r.event_id: (r.rn, r.lagh) for r in _plain(df, halo).collect()}
+    assert set(got) == set(exp)
+    for k, (rn, lagh, _) in got.items():
+        assert (rn, lagh) == exp[k]
