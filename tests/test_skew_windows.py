@@ -103,3 +103,14 @@ def test_chunked_property(spark, days, halo, seed):
     assert set(got) == set(exp)
     for k, (rn, lagh, _) in got.items():
         assert (rn, lagh) == exp[k]
+
+
+def test_history_features_environment_columns(spark, skewed):
+    """The one extension hook: environment columns replace the constants 20 / 50 / 12 / 1.0 when given."""
+    spark.conf.set("soilcast.skewRows", str(10 ** 9))
+    df = skewed.withColumn("light", F.lit(9.5))
+    f = W.history_features(df, env_cols={"temperature": "temperature_c", "humidity": "humidity_pct",
+                                         "light_hours": "light"}).select(*W.FEATURE_NAMES[-4:]).distinct().collect()
+    assert [tuple(r) for r in f] == [(20.0, 50.0, 9.5, 1.0)]
+    g = W.history_features(skewed).select(*W.FEATURE_NAMES[-4:]).distinct().collect()
+    assert [tuple(r) for r in g] == [(20.0, 50.0, 12.0, 1.0)]
