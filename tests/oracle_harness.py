@@ -31,6 +31,8 @@ def _norm(v, digits):
     if isinstance(v, float):
         if math.isnan(v):
             return None
+        if v == 0.0:                 # a value hash may tell -0.0 from 0.0: so do we
+            return ("zero", math.copysign(1.0, v))
         return round(v, digits) if digits is not None else v
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
