@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soilcast.llm import mixing, packing, pii, quality, records, simhash
+from soilcast.llm import html_text, mixing, packing, pii, quality, records, simhash
 from soilcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query("op6_html_main_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op7_source_mixing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan(table(spark, sf_dir, "documents"))
