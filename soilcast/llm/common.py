@@ -1,6 +1,7 @@
 """Small helpers shared by the operators of this folder."""
 from __future__ import annotations
 
+import os
 import sys
 import types
 import uuid
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from soilcast.session import cut_lineage, ensure_checkpoint_dir
 from soilcast.sources.readings import table
 
-__all__ = ["WORD", "SPACE", "SPACE_CHARS", "cut_lineage", "fresh", "id_key", "let", "row_hash", "run_folder",
-           "ship", "table", "text_or_empty", "words", "worker_state"]
+__all__ = ["WORD", "SPACE", "SPACE_CHARS", "cut_lineage", "file_system", "fresh", "id_key", "let", "row_hash", "run_folder",
+           "ship", "table", "text_or_empty", "words", "worker_state", "written"]
 
 # A word of every contract: a run of characters outside space and the ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,3 +82,18 @@ def id_key(col: str | Column) -> Column:
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run below the shared folder the cluster names in ``spark.checkpoint.dir``."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: cuts the lineage, and, unlike a checkpoint, forgets
+    the partitioning, so that a later join deals both sides itself and can split a skewed key."""
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(uri: str):
+    """(pyarrow file system, path in it) of a URI or a plain path, for use inside tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else os.path.abspath(uri))

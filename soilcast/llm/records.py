@@ -18,7 +18,6 @@ ignored. Reading verifies both checksums and raises on a damaged record.
 """
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from soilcast.llm import tokens
-from soilcast.llm.common import run_folder, ship
+from soilcast.llm.common import file_system, run_folder, ship
 
 ship(__name__)
 
@@ -139,13 +138,6 @@ def unframe(data: bytes) -> list[bytes]:
     return bodies
 
 
-def file_system(uri: str):
-    """(file system, path) of a URI or a plain path, for use inside tasks."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else os.path.abspath(uri))
-
-
 class _Shard:
     """One shard and its index under temporary names until ``close``."""
 
