@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from soilcast.llm import html_text, langid, mixing, packing, pii, quality, records, simhash, warc
+from soilcast.llm import bm25, html_text, langid, mixing, packing, pii, quality, records, simhash, warc
 from soilcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("group_key")
 
 
+@query("op2_bm25_top_k")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.top_k(docs, F.col("doc_id") % 100 == 0)
+
+
 @query("op3_pii_surrogates")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
