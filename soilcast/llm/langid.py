@@ -58,7 +58,9 @@ def points(text: str) -> np.ndarray:
 
 def gram_hashes(cp: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of the n-grams that start at each position."""
-    h = np.full(max(0, len(cp) - n + 1), np.uint64(n))
+    if len(cp) < n:
+        return np.empty(0, np.uint64)
+    h = np.full(len(cp) - n + 1, np.uint64(n))
     for j in range(n):
         h = (h ^ cp[j:len(cp) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)

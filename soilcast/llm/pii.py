@@ -216,9 +216,12 @@ def exceptions(values: DataFrame, key: str = KEY) -> DataFrame:
             break
         marked = taken.join(bad, ["kind", "s"], "left")
         again = F.coalesce(F.col("bad"), F.lit(False)) & ~F.coalesce(F.col("stays") == F.col("value"), F.lit(False))
-        next_try = F.col("attempt") + again.cast("int")
-        taken = cut_lineage(marked.select("kind", "value", next_try.alias("attempt"), F.when(
-            again, surrogate(F.col("kind"), F.col("value"), next_try, key)).otherwise(F.col("s")).alias("s")))
+        # the new attempt is a column of its own step: inside lambdas its name must mean one thing
+        tried = marked.select("kind", "value", (F.col("attempt") + again.cast("int")).alias("attempt"),
+                              again.alias("again"), "s")
+        taken = cut_lineage(tried.select("kind", "value", "attempt", F.when(
+            F.col("again"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)).otherwise(F.col("s"))
+            .alias("s")))
     else:
         raise RuntimeError("surrogates did not become distinct")
     return taken.where("attempt > 0").select("kind", "value", "attempt")
