@@ -36,24 +36,36 @@ def season(ts: Column) -> Column:
     return F.floor((F.month(ts) % 12) / 3).cast("int")
 
 
-ZONE_SUFFIX = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
+EPOCH = "1970-01-01 00:00:00"
+
+
+def utc_micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ from its calendar fields, whatever the session time zone."""
+    seconds = F.unix_date(F.to_date(ts)) * F.lit(86_400).cast("long") + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * F.lit(1_000_000).cast("long") + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
+# Year-month-day, basic or extended; optional time with 1 to 3 parts and a fraction; optional offset after a time.
+ISO = (r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2})"
+       r"(?:[T ]([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]+))?)?)?"
+       r"(Z|z|[+-][0-9]{2}(?::?[0-9]{2})?)?)?$")
 
 
 def parse_iso(text: Column) -> Column:
-    """ISO-8601 text to TIMESTAMP_NTZ in UTC; a 'Z' or +hh:mm suffix is applied as an offset, text without one
-    is taken as UTC wall time. Unparsable text gives null. The wall time is parsed with the suffix removed and
-    the offset subtracted arithmetically, so the result does not depend on the session time zone."""
+    """ISO-8601 text to TIMESTAMP_NTZ in UTC: dates, times to the hour, minute, second or fraction (cut to
+    microseconds), basic or extended form, 'T' or a space between. A 'Z' or +hh[[:]mm] suffix is applied as an offset;
+    text without one is UTC wall time. Anything else gives null. No step goes through the session time zone."""
     t = F.trim(text)
-    zone = F.regexp_extract(t, ZONE_SUFFIX, 1)
-    local = F.regexp_replace(t, ZONE_SUFFIX, "")
-    wall = F.coalesce(
-        F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")),
-        F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]")),
-        F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm")),
-        F.try_to_timestamp(local, F.lit("yyyy-MM-dd")),
-    ).cast("timestamp_ntz")
-    hh = F.regexp_extract(zone, r"^[+-]([0-9]{2})", 1)
-    mm = F.regexp_extract(zone, r"^[+-][0-9]{2}:?([0-9]{2})$", 1)
+
+    def part(i: int, default: str = "0") -> Column:
+        g = F.regexp_extract(t, ISO, i)
+        return F.when(g == "", F.lit(default)).otherwise(g)
+
+    second = F.concat(part(6), F.lit("."), F.rpad(F.substring(part(7), 1, 6), 6, "0")).cast("decimal(8,6)")
+    wall = F.try_make_timestamp_ntz(*[part(i).cast("int") for i in (1, 2, 3, 4, 5)], second)
+    zone = F.regexp_extract(t, ISO, 8)
+    digits = F.rpad(F.regexp_replace(zone, "[^0-9]", ""), 4, "0")
     sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    offset = F.when((zone == "") | (zone == "Z"), F.lit(0)).otherwise(sign * (hh.cast("int") * 60 + mm.cast("int")))
-    return F.timestamp_add("MINUTE", -offset, wall)
+    minutes = F.when(zone.isin("", "Z", "z"), F.lit(0)).otherwise(
+        sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")))
+    return F.when(F.rlike(t, F.lit(ISO)), wall - F.make_dt_interval(mins=minutes))

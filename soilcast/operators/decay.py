@@ -40,16 +40,11 @@ def decay_points(readings: DataFrame, tail: int = S.DECAY_TAIL) -> DataFrame:
                     "start_time", "current_time", "current_moisture", "n_points")
 
 
-def cpu_partitions(spark) -> int:
-    """Partitions for a CPU-bound step on bounded data: twice the cluster's cores (for balance)."""
-    return max(1, 2 * spark.sparkContext.defaultParallelism)
-
-
 def spread(df: DataFrame, key: str = "sensor_id") -> DataFrame:
-    """Hash-partition a bounded per-sensor frame over the cluster's cores. The grid search is CPU-bound on
-    few rows: without this, AQE would coalesce the small shuffle into a task or two. A user-numbered
-    repartition is kept as is by AQE."""
-    return df.repartition(cpu_partitions(df.sparkSession), key)
+    """Hash-partition a bounded per-sensor frame into ``spark.sql.shuffle.partitions`` parts, the session's own
+    measure of its data. The grid search is CPU-bound on few bytes: without a number, AQE would coalesce it into
+    a task or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _clamp(c: Column, lo: float, hi: float) -> Column:
@@ -61,11 +56,12 @@ def _best_per_tau(sums: DataFrame) -> DataFrame:
     columns first and their SSEs from column references, which keeps expression trees (and planning) small."""
     n, se, see, sy, sey, syy = (F.col(c) for c in ["n", "se", "see", "sy", "sey", "syy"])
     det = see * n - se * se
-    a_u = (n * sey - se * sy) / det
-    o_u = (see * sy - se * sey) / det
+    a_u = F.try_divide(n * sey - se * sy, det)      # det = 0 when all times are equal: no interior solution
+    o_u = F.try_divide(see * sy - se * sey, det)
     x = sums.select("sensor_id", "tau", "n", "se", "see", "sy", "sey", "syy",
                     a_u.alias("au"), o_u.alias("ou"), det.alias("det"))
-    ok_u = (F.col("det") > 0) & F.col("au").between(A_MIN, A_MAX) & F.col("ou").between(O_MIN, O_MAX)
+    ok_u = F.coalesce((F.col("det") > 0) & F.col("au").between(A_MIN, A_MAX) & F.col("ou").between(O_MIN, O_MAX),
+                      F.lit(False))
     cand = [  # (A, offset) of the interior solution and of the four box edges
         (F.when(ok_u, F.col("au")).otherwise(F.lit(0.0)), F.when(ok_u, F.col("ou")).otherwise(F.lit(0.0))),
         (F.lit(A_MIN), _clamp((sy - A_MIN * se) / n, O_MIN, O_MAX)),
@@ -164,7 +160,7 @@ def decay_crossing(fit: DataFrame, threshold: float = S.WATERING_THRESHOLD, hori
     or A = 0) gives the horizon. Timestamp: newest reading + least(floor(h), horizon - 1) whole hours."""
     a, tau, o = F.col("A"), F.col("tau"), F.col("offset")
     reach = (a > 0) & (o < threshold)
-    raw = tau * F.log(a / (F.lit(threshold) - o)) - F.col("t_now")
+    raw = tau * F.log(F.try_divide(a, F.lit(threshold) - o)) - F.col("t_now")
     h = F.when(reach, F.least(F.greatest(raw, F.lit(0.0)), F.lit(float(horizon)))).otherwise(F.lit(float(horizon)))
     out = fit.withColumn("hours_from_now", h)
     whole = F.least(F.floor(F.col("hours_from_now") + F.lit(1e-6)), F.lit(horizon - 1)).cast("int")
@@ -188,7 +184,7 @@ def critical_hour(critical: float = S.CRITICAL_THRESHOLD, horizon: int = S.HORIZ
     def value(h: Column) -> Column:
         return F.least(F.greatest(decay_value(a, tau, o, t + h), F.lit(0.0)), F.lit(1.0))
 
-    guess = F.when((a > 0) & (o < critical), F.ceil(tau * F.log(a / (F.lit(critical) - o)) - t)) \
+    guess = F.when((a > 0) & (o < critical), F.ceil(tau * F.log(F.try_divide(a, F.lit(critical) - o)) - t)) \
         .otherwise(F.lit(0)).cast("long")
     guess = F.least(F.greatest(guess, F.lit(0)), F.lit(horizon))
     cands = F.filter(F.array(guess - 1, guess, guess + 1, F.lit(horizon)),

@@ -19,7 +19,8 @@ from soilcast.functions.timefn import add_hours
 from soilcast.operators.windows import FEATURE_NAMES, history_features, order_cols, tail_n
 from soilcast.session import scratch_path
 
-MAX_DEPTH = 10
+MAX_DEPTH = 12          # trees grow until pure or this deep; an argument of forest_train and analyze
+ROWS_PER_PARTITION = 20_000   # training rows per partition: part of the model, as bagging is seeded per partition
 MAX_BINS = 64
 MAX_MEMORY_MB = 1024   # upper bound of the histogram memory per task and pass (more nodes split per pass)
 
@@ -47,21 +48,23 @@ def forest_training_rows(readings: DataFrame, ml_min: int = S.ML_MIN_READINGS, f
 
 
 def forest_train(training_rows: DataFrame, num_trees: int = S.FOREST_TREES, seed: int = S.FOREST_SEED,
-                 max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS):
+                 max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS,
+                 rows_per_partition: int = ROWS_PER_PARTITION):
     """Spark ML RandomForestRegressor over the 13 features (all features at every split, bootstrap)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     from pyspark import StorageLevel
 
-    # the fit scans its input several times (split candidates, metadata, bagging): materialise the window-built
-    # rows once for the duration of the (eager) fit; lost blocks are recomputed from lineage
-    from soilcast.operators.decay import cpu_partitions
-
-    # balanced partitions, two per core: every tree level is one pass of that many tasks
-    data = VectorAssembler(inputCols=FEATURE_NAMES, outputCol="features").transform(training_rows) \
-        .select("features", F.col("target").alias("label")) \
-        .repartition(cpu_partitions(training_rows.sparkSession)).persist(StorageLevel.MEMORY_AND_DISK)
+    # The fit scans its input several times: the rows are written once, for the duration of the (eager) fit.
+    # Bootstrap samples are drawn per partition, so the number, content and order of partitions are part of the
+    # model: they follow from the rows alone (count, keys), never from the machine.
+    keys = ["sensor_id", *order_cols(training_rows)]
+    rows = training_rows.select(*keys, "target", *FEATURE_NAMES).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = max(1, -(-rows.count() // rows_per_partition))
+    data = VectorAssembler(inputCols=FEATURE_NAMES, outputCol="features").transform(
+        rows.repartition(parts, *keys).sortWithinPartitions(*keys, "target")) \
+        .select("features", F.col("target").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
     rf = RandomForestRegressor(numTrees=num_trees, seed=seed, maxDepth=max_depth, maxBins=max_bins,
                                featureSubsetStrategy="all", labelCol="label", featuresCol="features",
                                maxMemoryInMB=histogram_memory_mb(training_rows.sparkSession), cacheNodeIds=True)
@@ -69,6 +72,7 @@ def forest_train(training_rows: DataFrame, num_trees: int = S.FOREST_TREES, seed
         return rf.fit(data)
     finally:
         data.unpersist()
+        rows.unpersist()
 
 
 def forest_arrays(model) -> dict:
@@ -196,9 +200,9 @@ def forest_curve(seeds: DataFrame, model_arrays: dict, horizon: int = S.HORIZON_
     _ship_by_value()
     spark = seeds.sparkSession
     bc = spark.sparkContext.broadcast(model_arrays)
-    from soilcast.operators.decay import cpu_partitions
+    from soilcast.operators.decay import spread
 
-    j = seeds.repartition(cpu_partitions(spark), "sensor_id").mapInPandas(_rollout_fn(bc, horizon), CURVE_SCHEMA)
+    j = spread(seeds).mapInPandas(_rollout_fn(bc, horizon), CURVE_SCHEMA)
     m = F.col("predicted_moisture")
     conf = F.greatest(F.lit(0.3), F.lit(confidence) * (F.lit(1.0) - F.col("hours_from_now") / F.lit(2.0 * horizon)))
     return j.select("sensor_id", "hours_from_now", add_hours(F.col("current_time"), F.col("hours_from_now")).alias("timestamp"),

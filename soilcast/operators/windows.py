@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from soilcast import schema as S
-from soilcast.functions.timefn import hours_between, season, weekday
+from soilcast.functions.timefn import hour_bucket, hours_between, season, weekday
 
 
 def order_cols(df: DataFrame) -> list[str]:
@@ -18,75 +18,46 @@ def series_window(df: DataFrame, key: str = "sensor_id"):
 
 CHUNK = "_chunk"
 HALO = "_halo"
-# A sensor with more rows than this is windowed in (sensor, day) chunks; below it, whole-series windows are
-# cheaper. Set "soilcast.skewRows" on the session to change it (0 forces chunking).
-SKEW_ROWS = 2_000_000
+CHUNK_ROWS = 100_000   # rows of a sensor per chunk: a longer series is spread over several tasks
 
 
-def skew_rows(spark) -> int:
-    return int(spark.conf.get("soilcast.skewRows", str(SKEW_ROWS)))
-
-
-_TOP_ROWS: dict[int, int] = {}
-
-
-def has_hot_sensor(df: DataFrame) -> bool:
-    """True when some sensor holds more rows than the skew threshold. One partially aggregated count per
-    sensor and a single max come back to the driver (a scalar). The count is remembered per input plan
-    (semantic hash): both window strategies give identical rows, so a stale count could only cost speed."""
-    limit = skew_rows(df.sparkSession)
-    if limit <= 0:
-        return True
-    key = df.semanticHash()
-    if key not in _TOP_ROWS:
-        top = df.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0]
-        _TOP_ROWS[key] = int(top or 0)
-    return _TOP_ROWS[key] > limit
-
-
-def series_frame(df: DataFrame, halo: int) -> DataFrame:
-    """Rows with ``_chunk``, global ``rn``, ``_total`` and ``_halo`` for windows over ``chunk_window``: chunked
-    with halos when a hot sensor exists, else one chunk per sensor (plain whole-series windows)."""
-    if has_hot_sensor(df):
-        return chunked_series(df, halo)
-    w = Window.partitionBy("sensor_id").orderBy(*order_cols(df))
-    return df.select("*", F.lit(0).alias(CHUNK), F.row_number().over(w).cast("long").alias("rn"),
-                     F.count(F.lit(1)).over(Window.partitionBy("sensor_id")).alias("_total"),
-                     F.lit(False).alias(HALO))
-
-
-def chunked_series(df: DataFrame, halo: int, chunk=None) -> DataFrame:
-    """Split every sensor's series into chunks (days by default) for windows with a bounded look-back.
+def series_frame(df: DataFrame, halo: int, chunk_rows: int | None = None) -> DataFrame:
+    """Split every sensor's series into chunks of about ``chunk_rows`` rows for windows with a bounded look-back.
 
     Returns the rows of ``df`` with ``_chunk``, a global 1-based ``rn`` per sensor, the sensor's total ``_total``
     and ``_halo = false``, plus, for every chunk, copies (``_halo = true``) of the ``halo`` newest rows that
     precede it. A window partitioned by (sensor_id, _chunk) and ordered by time then sees, for each non-halo
-    row, exactly the preceding rows a whole-series window would see up to ``halo`` back. A hot sensor is
-    spread over its chunks instead of landing in one task; everything else is a per-(sensor, chunk) top-n
-    (WindowGroupLimit), a partially aggregated count, and windows over the small (sensor, chunk) table.
-    Halo copies number at most ``halo`` per chunk."""
+    row, exactly the preceding rows a whole-series window would see up to ``halo`` back.
+
+    Rows are counted per (sensor, hour) with map-side combination; running counts over these cells cut the chunks, so
+    a sensor with few rows is one chunk without halo copies, and a hot sensor is spread over many. Halos are a
+    per-chunk top-n (WindowGroupLimit). Rows without a time sort first, as in a plain window."""
     o = order_cols(df)
-    d = df.withColumn(CHUNK, chunk if chunk is not None else F.to_date("event_time"))
-    wc = Window.partitionBy("sensor_id").orderBy(CHUNK)
-    cs = d.groupBy("sensor_id", CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    cs = cs.select("sensor_id", CHUNK, "_n",
-                   F.row_number().over(wc).alias("_ci"),
-                   F.coalesce(F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-                   F.sum("_n").over(Window.partitionBy("sensor_id")).alias("_total"))
+    cell = F.coalesce(hour_bucket(F.col("event_time")), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+    d = df.withColumn("_cell", cell)
+    wc = Window.partitionBy("sensor_id").orderBy("_cell")
+    cells = d.groupBy("sensor_id", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.select("sensor_id", "_cell", "_n", F.coalesce(
+        F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    cells = cells.withColumn(CHUNK, F.floor(F.col("_off") / F.lit(chunk_rows or CHUNK_ROWS)))
+    d = d.join(cells.select("sensor_id", "_cell", CHUNK), ["sensor_id", "_cell"]).drop("_cell")
+    wk = Window.partitionBy("sensor_id").orderBy(CHUNK)
+    cs = cells.groupBy("sensor_id", CHUNK).agg(F.sum("_n").alias("_n"), F.min("_off").alias("_off"))
+    cs = cs.select("*", F.row_number().over(wk).alias("_ci"), F.sum("_n").over(Window.partitionBy("sensor_id")).alias("_total"))
     # chunks whose halo can reach back into chunk i: those starting within `halo` rows after chunk i ends
-    reach = F.count(F.lit(1)).over(Window.partitionBy("sensor_id").orderBy("_off").rangeBetween(0, halo - 1))
+    reach = F.count(F.lit(1)).over(Window.partitionBy("sensor_id").orderBy("_off").rangeBetween(0, max(0, halo - 1)))
     cs = cs.withColumn("_reach", reach).withColumn(
-        "_span", F.coalesce(F.lead("_reach", 1).over(wc), F.lit(0))).drop("_reach")
+        "_span", F.coalesce(F.lead("_reach", 1).over(wk), F.lit(0))).drop("_reach")
     local = Window.partitionBy("sensor_id", CHUNK).orderBy(*o)
     main = d.join(cs, ["sensor_id", CHUNK]).withColumn("rn", F.col("_off") + F.row_number().over(local))
     keep = df.columns + [CHUNK, "rn", "_total"]
     if halo <= 0:
         return main.select(*keep, F.lit(False).alias(HALO))
-    # halo candidates: the newest `halo` rows of each chunk (top-n per chunk), sent to the next chunks
+    # halo candidates: the newest `halo` rows of each chunk that another follows, sent to the next chunks
     back = Window.partitionBy("sensor_id", CHUNK).orderBy(*[F.col(c).desc() for c in o])
-    tail = d.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= halo) \
-        .join(cs, ["sensor_id", CHUNK]).withColumn("rn", F.col("_off") + F.col("_n") - F.col("_back") + 1) \
-        .where(F.col("_span") > 0)
+    tail = d.join(cs.where(F.col("_span") > 0), ["sensor_id", CHUNK]) \
+        .withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= halo) \
+        .withColumn("rn", F.col("_off") + F.col("_n") - F.col("_back") + 1)
     sent = tail.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_span")))) \
         .withColumn("_target", F.col("_ci") + F.col("_k"))
     tgt = cs.select("sensor_id", F.col("_ci").alias("_target"), F.col(CHUNK).alias("_tchunk"),

@@ -56,4 +56,4 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Importing the query modules fills QUERIES / ORACLE.
 def load_all() -> None:
-    from soilcast.plans import q_surface, q_series, q_forecast, q_results  # noqa: F401
+    from soilcast.plans import q_cases, q_forecast, q_results, q_series, q_surface  # noqa: F401

@@ -13,6 +13,7 @@ from soilcast.functions.timefn import add_hours
 from soilcast.operators import decay, forest, health, linear, staging
 from soilcast.operators.marts import choose_method
 from soilcast.operators.windows import drying_rate
+from soilcast.session import cut_lineage
 from soilcast.sources.readings import latest_readings
 
 
@@ -30,22 +31,26 @@ def _series(readings: DataFrame) -> DataFrame:
 
 
 def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bool | None = None,
-            forest_params: dict | None = None, method: str | None = None, materialize: bool = False) -> Analysis:
+            forest_params: dict | None = None, method: str | None = None, only: str | None = None) -> Analysis:
     """Analyse every sensor of ``readings``: its whole series by default, or (``compat_limit``) the newest
     rows over all sensors together as the service's single query does. ``method`` forces one method for
-    every sensor (operator-level use); by default n >= 50 selects the forest."""
+    every sensor (operator-level use); by default n >= 50 selects the forest. ``forest_params``: arguments of
+    ``forest_train`` (trees, depth, bins). ``only``: score one sensor, with the model of all.
+
+    The input is read once: the four series columns are written with a reliable checkpoint, and every aggregate,
+    tail and window starts from that narrow copy. Invalid sensors drop out by a join with the one-row-per-sensor
+    checks."""
     src = latest_readings(readings, compat_limit) if compat_limit else readings
-    series = _series(src)
-    checks = staging.validate_series(series)
+    every = cut_lineage(_series(src))
+    checks = cut_lineage(staging.validate_series(every))
     valid = checks.where(F.col("status") == "valid").select("sensor_id", F.col("n_readings").alias("samples_used"))
     rejects = checks.where(F.col("status") == "rejected")
-    s = series.join(valid.select("sensor_id"), "sensor_id", "left_semi")
-    if materialize:
-        from soilcast.session import cut_lineage
-        n = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        s = cut_lineage(s.repartition(n, "sensor_id"))
-        valid = staging.validate_series(s).where(F.col("status") == "valid").select(
-            "sensor_id", F.col("n_readings").alias("samples_used"))
+    trained_on = every.join(valid.select("sensor_id"), "sensor_id", "left_semi")
+    s = trained_on
+    if only is not None:
+        s = trained_on.where(F.col("sensor_id") == F.lit(only))
+        valid = valid.where(F.col("sensor_id") == F.lit(only))
+        rejects = rejects.where(F.col("sensor_id") == F.lit(only))
 
     meta = valid.withColumn("method", F.lit(method) if method else choose_method(F.col("samples_used")))
     cur = linear.current_reading(s).drop("n_readings")
@@ -64,10 +69,10 @@ def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bo
     curves = decay.decay_curve(fit)
 
     if use_forest is None:
-        use_forest = ml_ids.limit(1).count() > 0
+        use_forest = bool(ml_ids.limit(1).count())       # one row per sensor, already written
     if use_forest:
         ml_series = s.join(ml_ids, "sensor_id", "left_semi")
-        model = forest.forest_train(forest.forest_training_rows(ml_series), **(forest_params or {}))
+        model = forest.forest_train(forest.forest_training_rows(trained_on), **(forest_params or {}))
         arrays = forest.forest_arrays(model)
         fcurve = forest.forest_curve(forest.forest_seeds(ml_series), arrays)
         ffc = forest.forest_forecast(fcurve)
@@ -121,6 +126,20 @@ def predict_batch(readings: DataFrame, **kw) -> DataFrame:
     return a.results.select(*RESULT_COLUMNS).withColumn("drying_rate_per_hour", F.col("drying_rate_compat"))
 
 
+CURVE_POINT = ["hours_from_now", "timestamp", "predicted_moisture", "status", "confidence", "model_type"]
+
+
+def predict_one(readings: DataFrame, sensor_id: str, **kw) -> DataFrame:
+    """The batch row of one sensor (its model is that of all sensors, so the two agree), with its curve points in
+    order of hours and its watering-frequency analysis."""
+    a = analyze(readings, only=sensor_id, **kw)
+    curve = a.curves.where(F.col("sensor_id") == F.lit(sensor_id)).groupBy("sensor_id").agg(
+        F.sort_array(F.collect_list(F.struct(*CURVE_POINT))).alias("predicted_decay_curve"))   # 337 points
+    one = a.results.select(*RESULT_COLUMNS, "watering_frequency_analysis").withColumn(
+        "drying_rate_per_hour", F.col("drying_rate_compat"))
+    return one.join(curve, "sensor_id", "left")
+
+
 def sensor_status(readings: DataFrame, **kw) -> DataFrame:
     """Current moisture, status from the forecast urgency, newest reading time (no health metrics needed)."""
     a = analyze(readings, **kw)
@@ -132,13 +151,12 @@ def sensor_status(readings: DataFrame, **kw) -> DataFrame:
 def predict_submission(submissions: DataFrame, key: str = "submission_id", **kw) -> DataFrame:
     """Prediction for submitted series (many at once): status from the current moisture, critical date = first
     CRITICAL curve point, drying_rate_per_hour = hours/24 (compat), four health keys, empty curve."""
-    from soilcast.sources.submissions import submitted_series, validate_submission
+    from soilcast.sources.submissions import submission_status, submitted_series
 
-    checks = validate_submission(submissions, key)
-    ok = submissions.join(checks.where(F.col("status") == "valid").select(key), key, "left_semi")
+    checked = cut_lineage(submissions.withColumn("status", submission_status()))
+    ok = checked.where(F.col("status") == "valid").drop("status")
     rows = submitted_series(ok, key)
     series = rows.select(F.col(key).alias("sensor_id"), "event_time", "soil_moisture", "event_id")
-    kw.setdefault("materialize", True)
     a = analyze(series, **kw)
     r = a.results.withColumn("critical_time", F.col("curve_critical_time"))
     ids = ok.select(F.col(key).alias("_k"), F.coalesce(F.col("sensor_id"), F.lit(S.DEFAULT_SUBMISSION_ID)).alias("request_sensor_id"))

@@ -126,8 +126,10 @@ def q_predict_batch(spark, sf):
 @query("predict_one")
 def q_predict_one(spark, sf):
     from soilcast.plans.q_surface import ONE_SENSOR
-    r = readings(spark, sf).where(F.col("sensor_id") == ONE_SENSOR)
-    return P.predict_batch(r).withColumn("recommendations", rec_text(F.col("recommendations")))
+    p = P.predict_one(readings(spark, sf), ONE_SENSOR)
+    return p.withColumn("recommendations", rec_text(F.col("recommendations"))) \
+        .withColumn("predicted_decay_curve", F.to_json("predicted_decay_curve")) \
+        .withColumn("watering_frequency_analysis", F.to_json("watering_frequency_analysis"))
 
 
 @query("sensor_status")
@@ -135,9 +137,7 @@ def q_sensor_status(spark, sf):
     return P.sensor_status(readings(spark, sf))
 
 
-SLICE_CTE = READINGS_CTE.replace("readings AS (", "allr AS (", 1)
-SLICE_READINGS = "readings AS (SELECT * FROM allr WHERE event_time >= (SELECT max(event_time) FROM allr) - INTERVAL 4 DAY)"
-SUMMARY_SQL = "WITH " + ",\n".join([SLICE_CTE, SLICE_READINGS, *DECAY_CTES, *HEALTH_CTES, *EXP_RESULT_CTES]) + """
+SUMMARY_SQL = analysis_sql("""
 SELECT k.sensor_id,
        CASE WHEN r.sensor_id IS NOT NULL THEN printf('%.3f', r.current_moisture) ELSE 'N/A' END AS current_moisture_text,
        coalesce(r.status, 'API Error') AS status_text,
@@ -146,32 +146,31 @@ SELECT k.sensor_id,
             WHEN r.critical_watering_date IS NOT NULL THEN strftime(r.critical_watering_date, '%Y-%m-%d')
             WHEN r.predicted_watering_date IS NOT NULL THEN strftime(r.predicted_watering_date, '%Y-%m-%d')
             ELSE 'Not needed' END AS watering_date_text
-FROM (SELECT DISTINCT sensor_id FROM allr) k LEFT JOIN res3 r USING (sensor_id)"""
+FROM (SELECT DISTINCT sensor_id FROM readings) k LEFT JOIN res3 r USING (sensor_id)""")
 
 
-def _slice(spark, sf):
-    from soilcast.plans.q_surface import VALIDATE_DAYS
-    return staging.recent_slice(readings(spark, sf), VALIDATE_DAYS)
+def _all_exponential(spark, sf):
+    """Every sensor over its whole series, on the path that SQL can follow."""
+    return P.predict_batch(readings(spark, sf), use_forest=False, method="exponential")
 
 
 @query("sensor_summary", SUMMARY_SQL)
 def q_sensor_summary(spark, sf):
-    preds = P.predict_batch(_slice(spark, sf))
-    return report.sensor_summary(readings(spark, sf), preds)
+    return report.sensor_summary(readings(spark, sf), _all_exponential(spark, sf))
 
 
-@query("watering_date_label", "WITH " + ",\n".join([SLICE_CTE, SLICE_READINGS, *DECAY_CTES, *HEALTH_CTES, *EXP_RESULT_CTES]) + """
+@query("watering_date_label", analysis_sql("""
 SELECT sensor_id, status, predicted_watering_date, critical_watering_date,
        CASE WHEN status LIKE '%CRITICAL%' THEN 'TODAY (Critical)'
             WHEN critical_watering_date IS NOT NULL THEN strftime(critical_watering_date, '%Y-%m-%d')
             WHEN predicted_watering_date IS NOT NULL THEN strftime(predicted_watering_date, '%Y-%m-%d')
             ELSE 'Not needed' END AS watering_date_text
-FROM res3""")
+FROM res3"""))
 def q_watering_date_label(spark, sf):
-    p = P.predict_batch(_slice(spark, sf))
-    return p.select("sensor_id", "status", "predicted_watering_date", "critical_watering_date",
-                    report.watering_date_label("status", "critical_watering_date", "predicted_watering_date")
-                    .alias("watering_date_text"))
+    return _all_exponential(spark, sf).select(
+        "sensor_id", "status", "predicted_watering_date", "critical_watering_date",
+        report.watering_date_label("status", "critical_watering_date", "predicted_watering_date")
+        .alias("watering_date_text"))
 
 
 # ---- submissions ---------------------------------------------------------------------------------------------
@@ -264,15 +263,12 @@ SELECT r.event_id, e.event_type,
        e.event_type = 'click' AS used_short_key
 FROM readings r JOIN events e USING (event_id)"""))
 def q_key_fallback(spark, sf):
-    msgs = _messages(spark, sf)
-    m = F.from_json(M.decode_body(F.col("body")), "map<string,string>")
-    x = msgs.select("event_id", m.alias("m"))
-    ev = table(spark, sf, "events").select("event_id", "event_type")
-    out = x.select("event_id",
-                   M.key_fallback(F.col("m"), "temperature_c", "temperature").try_cast("double").alias("temperature_c"),
-                   M.key_fallback(F.col("m"), "humidity_pct", "humidity").try_cast("double").alias("humidity_pct"),
-                   (~F.map_contains_key(F.col("m"), "temperature_c")).alias("used_short_key"))
-    return out.join(ev, "event_id")
+    r = readings_from_events(table(spark, sf, "events"), keep_type=True)
+    x = M.messages_from_readings(r, keep=["event_type"]).select("event_id", "event_type", M.fields(F.col("body")).alias("m"))
+    return x.select("event_id", "event_type",
+                    M.key_fallback(F.col("m"), "temperature_c", "temperature").try_cast("double").alias("temperature_c"),
+                    M.key_fallback(F.col("m"), "humidity_pct", "humidity").try_cast("double").alias("humidity_pct"),
+                    (~M.has_key(F.col("m"), "temperature_c")).alias("used_short_key"))
 
 
 @query("parse_iso_time", with_readings("""

@@ -169,9 +169,6 @@ def q_threshold_status(spark, sf):
                     ST.threshold_status(m, style="service").alias("service_status"))
 
 
-VALIDATE_DAYS = 4
-
-
 @query("validate_series", with_readings("""
 SELECT sensor_id, n_readings,
        CASE WHEN reason IS NULL THEN 'valid' ELSE 'rejected' END AS status, reason
@@ -182,8 +179,6 @@ FROM (
                    THEN 'Data contains NaN values. Please clean the data first.'
               WHEN count_if(NOT (soil_moisture BETWEEN 0.0 AND 1.0)) > 0 THEN '''moisture'' values must be between 0 and 1'
          END AS reason
-  FROM readings
-  WHERE event_time >= (SELECT max(event_time) FROM readings) - INTERVAL 4 DAY
-  GROUP BY sensor_id)"""))
+  FROM readings GROUP BY sensor_id)"""))
 def q_validate_series(spark, sf):
-    return staging.validate_series(staging.recent_slice(readings(spark, sf), VALIDATE_DAYS))
+    return staging.validate_series(readings(spark, sf))

@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,10 +42,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = tempfile.mkdtemp(prefix="soilcast-ckpt-", dir=os.environ.get("SOILCAST_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
+    _refuse_private(spark, path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def _refuse_private(spark: SparkSession, path: str) -> None:
+    """Off local mode, a path without a scheme that resolves to a machine's own file system is no shared folder.
+    (An explicit file:// is taken at its word: it may be a shared mount.)"""
+    if "://" in path or path.startswith("file:") or spark.sparkContext.master.startswith("local"):
+        return
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if default.startswith("file:"):
+        raise RuntimeError(f"spark.checkpoint.dir {path!r} names no shared folder: give it a scheme")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for intermediate tables and models."""
     base = ensure_checkpoint_dir(spark)

@@ -11,14 +11,16 @@ REJECT_REASONS = {
     "decode": "body is not base64 UTF-8 JSON object",
     "sensor": "missing sensor_id",
     "time": "missing or invalid timestamp",
+    "measure": "a measure is not a number",
 }
+FIELDS = ["sensor_id", "timestamp", "temperature_c", "temperature", "humidity_pct", "humidity", "soil_moisture"]
 
 
 def _num(v: Column) -> Column:
     return v.try_cast("double")
 
 
-def messages_from_readings(readings: DataFrame) -> DataFrame:
+def messages_from_readings(readings: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Test messages built from readings: full keys, short keys for event type 'click', and an explicit null
     first key for 'error' (so the value under the short key must be ignored)."""
     iso = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -33,39 +35,59 @@ def messages_from_readings(readings: DataFrame) -> DataFrame:
                      F.lit(', "humidity_pct": null, "humidity": '), num("humidity_pct"),
                      F.lit(', "soil_moisture": '), num("soil_moisture"), F.lit("}"))
     body = F.when(F.col("event_type") == "click", short).when(F.col("event_type") == "error", nulls).otherwise(full)
-    return readings.select("event_id", F.base64(F.encode(body, "UTF-8")).alias("body"))
+    return readings.select("event_id", *(keep or []), F.base64(F.encode(body, "UTF-8")).alias("body"))
 
 
 def decode_body(body: Column) -> Column:
-    """base64 -> UTF-8 text; null when the body is not valid base64."""
-    return F.try_to_binary(body, F.lit("base64")).cast("string")
+    """base64 -> UTF-8 text; null when the body is not valid base64 or not valid UTF-8."""
+    raw = F.try_to_binary(body, F.lit("base64")).cast("string")
+    return F.when(F.is_valid_utf8(raw), raw)
+
+
+def fields(body: Column) -> Column:
+    """The JSON object of a body as (v: the known fields' texts, keys: all its keys); null unless the body is exactly
+    one object. Of a repeated key the last value counts."""
+    text = decode_body(body)
+    # as the only element of an array: text before or after the object, or a second object, does not parse as one
+    one = F.from_json(F.concat(F.lit("["), text, F.lit("]")),
+                      "array<struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">>")
+    keys = F.json_object_keys(text)
+    return F.when((F.size(one) == 1) & one[0].isNotNull() & keys.isNotNull(),
+                  F.struct(one[0].alias("v"), keys.alias("keys")))
+
+
+def has_key(m: Column, key: str) -> Column:
+    return F.array_contains(m["keys"], key)
 
 
 def key_fallback(m: Column, first: str, second: str) -> Column:
     """Value under the first key when the key is present (even if null), else under the second."""
-    return F.when(F.map_contains_key(m, first), m[first]).otherwise(m[second])
+    return F.when(has_key(m, first), m["v"][first]).otherwise(m["v"][second])
+
+
+def _not_number(text: Column) -> Column:
+    x = text.try_cast("double")
+    return text.isNotNull() & (x.isNull() | F.isnan(x))
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
     """Decode and parse every message; keeps the decoded text as ``payload`` and a ``reject_reason``."""
-    text = decode_body(F.col("body"))
-    m = F.from_json(text, "map<string,string>")
-    x = messages.select("*", text.alias("payload"), m.alias("_m"))
+    x = messages.select("*", decode_body(F.col("body")).alias("payload"), fields(F.col("body")).alias("_m"))
     mm = F.col("_m")
-    t = parse_iso(mm["timestamp"])
-    out = x.select(
-        *[c for c in messages.columns if c != "body"],
-        mm["sensor_id"].alias("sensor_id"),
-        t.alias("event_time"),
-        _num(key_fallback(mm, *KEY_PAIRS["temperature_c"])).alias("temperature_c"),
-        _num(key_fallback(mm, *KEY_PAIRS["humidity_pct"])).alias("humidity_pct"),
-        _num(mm["soil_moisture"]).alias("soil_moisture"),
-        "payload",
-        F.when(mm.isNull(), F.lit(REJECT_REASONS["decode"]))
-         .when(mm["sensor_id"].isNull(), F.lit(REJECT_REASONS["sensor"]))
-         .when(t.isNull(), F.lit(REJECT_REASONS["time"])).alias("reject_reason"),
-    )
-    return out
+    x = x.select(
+        *[c for c in messages.columns if c != "body"], "payload", mm.isNull().alias("_bad"),
+        mm["v"]["sensor_id"].alias("sensor_id"), parse_iso(mm["v"]["timestamp"]).alias("event_time"),
+        key_fallback(mm, *KEY_PAIRS["temperature_c"]).alias("_t"),
+        key_fallback(mm, *KEY_PAIRS["humidity_pct"]).alias("_h"), mm["v"]["soil_moisture"].alias("_s"))
+    return x.select(
+        *[c for c in messages.columns if c != "body"], "sensor_id", "event_time",
+        _num(F.col("_t")).alias("temperature_c"), _num(F.col("_h")).alias("humidity_pct"),
+        _num(F.col("_s")).alias("soil_moisture"), "payload",
+        F.when(F.col("_bad"), F.lit(REJECT_REASONS["decode"]))
+         .when(F.col("sensor_id").isNull(), F.lit(REJECT_REASONS["sensor"]))
+         .when(F.col("event_time").isNull(), F.lit(REJECT_REASONS["time"]))
+         .when(_not_number(F.col("_t")) | _not_number(F.col("_h")) | _not_number(F.col("_s")),
+               F.lit(REJECT_REASONS["measure"])).alias("reject_reason"))
 
 
 def ingest_messages(messages: DataFrame) -> DataFrame:

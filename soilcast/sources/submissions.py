@@ -1,7 +1,7 @@
 """Submitted series: two parallel arrays (readings, ISO timestamps) + an optional id per submission."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from soilcast import schema as S
 from soilcast.functions.timefn import parse_iso, week_start
@@ -15,45 +15,42 @@ SUBMISSION_REASONS = [
 ]
 
 
-MAX_SUBMISSION = 10_000   # readings per request; a longer week of one sensor becomes several submissions
-
-
-def submissions_from_readings(readings: DataFrame, max_readings: int = MAX_SUBMISSION) -> DataFrame:
-    """Test submissions built from readings: one per sensor and ISO week, arrays in time order. A week with more
-    than ``max_readings`` readings is split into consecutive parts (ids get '#part'), so every collected array
-    is request-sized even for a hot sensor; the global row numbers come from the skew-safe series frame."""
-    from soilcast.operators.windows import HALO, series_frame
-
-    week = week_start(F.col("event_time"))
+def submissions_from_readings(readings: DataFrame) -> DataFrame:
+    """Test submissions built from readings: one per sensor and ISO week, arrays in time order. An array is one
+    request, of whatever length."""
     ext = F.col("sensor_id").startswith("EXT-")
     iso = F.date_format(F.col("event_time"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    r = series_frame(readings.select("sensor_id", "event_time", "event_id", "soil_moisture"), 0).where(~F.col(HALO))
-    r = r.select("sensor_id", week.alias("week"), "event_time", "event_id", "soil_moisture", "rn",
-                 F.when(ext, F.concat(iso, F.lit("Z"))).otherwise(iso).alias("ts_text"))
-    first = r.groupBy("sensor_id", "week").agg(F.min("rn").alias("_rn0"))
-    r = r.join(first, ["sensor_id", "week"]).withColumn(
-        "part", F.floor((F.col("rn") - F.col("_rn0")) / F.lit(max_readings)).cast("int"))
-    g = r.groupBy("sensor_id", "week", "part").agg(
+    r = readings.select("sensor_id", week_start(F.col("event_time")).alias("week"), "event_time", "event_id",
+                        "soil_moisture", F.when(ext, F.concat(iso, F.lit("Z"))).otherwise(iso).alias("ts_text"))
+    g = r.groupBy("sensor_id", "week").agg(
         F.sort_array(F.collect_list(F.struct("event_time", "event_id", "soil_moisture", "ts_text"))).alias("s"))
     return g.select(
-        F.concat(F.col("sensor_id"), F.lit("/"), F.date_format("week", "yyyy-MM-dd"),
-                 F.when(F.col("part") > 0, F.concat(F.lit("#"), F.col("part").cast("string"))).otherwise(F.lit(""))
-                 ).alias("submission_id"),
+        F.concat(F.col("sensor_id"), F.lit("/"), F.date_format("week", "yyyy-MM-dd")).alias("submission_id"),
         F.when(F.col("sensor_id").startswith("EXT-"), F.lit(None).cast("string")).otherwise(F.col("sensor_id")).alias("sensor_id"),
         F.transform("s", lambda x: x["soil_moisture"]).alias("moisture_readings"),
         F.transform("s", lambda x: x["ts_text"]).alias("timestamps"))
 
 
+def submission_reason() -> Column:
+    """First failing check of a submission row: lengths equal; >= 10 points; every reading in [0, 1]; every
+    timestamp parseable. A null array counts as an empty one. Null if all pass."""
+    m = F.coalesce(F.col("moisture_readings"), F.array().cast("array<double>"))
+    ts = F.coalesce(F.col("timestamps"), F.array().cast("array<string>"))
+    return (F.when(F.size(m) != F.size(ts), F.lit(SUBMISSION_REASONS[0]))
+            .when(F.size(m) < S.MIN_READINGS, F.lit(SUBMISSION_REASONS[1]))
+            .when(F.exists(m, lambda x: F.coalesce(~x.between(0.0, 1.0), F.lit(True))), F.lit(SUBMISSION_REASONS[2]))
+            .when(F.exists(ts, lambda x: parse_iso(x).isNull()), F.lit(SUBMISSION_REASONS[3])))
+
+
+def submission_status() -> Column:
+    return F.when(submission_reason().isNull(), "valid").otherwise("rejected")
+
+
 def validate_submission(subs: DataFrame, key: str = "submission_id") -> DataFrame:
-    """Per submission: lengths equal; >= 10 points; every reading in [0, 1]; every timestamp parseable."""
-    m, ts = F.col("moisture_readings"), F.col("timestamps")
-    reason = (F.when(F.size(m) != F.size(ts), F.lit(SUBMISSION_REASONS[0]))
-              .when(F.size(m) < S.MIN_READINGS, F.lit(SUBMISSION_REASONS[1]))
-              .when(F.exists(m, lambda x: ~x.between(0.0, 1.0) | x.isNull()), F.lit(SUBMISSION_REASONS[2]))
-              .when(F.exists(ts, lambda x: parse_iso(x).isNull()), F.lit(SUBMISSION_REASONS[3])))
+    """Per submission: reading count, status and the first failing check."""
+    n = F.size(F.coalesce(F.col("moisture_readings"), F.array().cast("array<double>")))
     return subs.select(key, F.coalesce(F.col("sensor_id"), F.lit(S.DEFAULT_SUBMISSION_ID)).alias("sensor_id"),
-                       F.size(m).alias("n_readings"),
-                       F.when(reason.isNull(), "valid").otherwise("rejected").alias("status"), reason.alias("reason"))
+                       n.alias("n_readings"), submission_status().alias("status"), submission_reason().alias("reason"))
 
 
 def submitted_series(subs: DataFrame, key: str = "submission_id") -> DataFrame:

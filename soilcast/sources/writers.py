@@ -25,30 +25,39 @@ def write_readings_table(readings: DataFrame, path: str, mode: str = "overwrite"
     w.parquet(path)
 
 
-def append_batch(readings: DataFrame, path: str, batch_size: int = 1000) -> int:
-    """Append readings to the table; ``batch_size`` caps rows per output file (the reference inserted in batches
-    of 1000). Returns the number of rows appended, counted by the write itself (an observed metric)."""
+ROWS_PER_FILE = 5_000_000   # a few hundred MB of readings
+
+
+def append_batch(readings: DataFrame, path: str, batch_size: int = ROWS_PER_FILE) -> int:
+    """Append readings to the table; ``batch_size`` caps rows per output file. Rows are range-partitioned by day,
+    sensor and time first, so a day's rows sit in few files. Returns the number of rows appended, counted by the
+    write itself (an observed metric)."""
     from pyspark.sql import Observation
 
     obs = Observation("append")
-    df = with_event_date(readings).observe(obs, F.count(F.lit(1)).alias("rows"))
+    df = with_event_date(readings).repartitionByRange("event_date", "sensor_id", "event_time") \
+        .observe(obs, F.count(F.lit(1)).alias("rows"))
     df.sortWithinPartitions("sensor_id", "event_time").write.mode("append").partitionBy("event_date") \
         .option("maxRecordsPerFile", batch_size).parquet(path)
     return int(obs.get["rows"])
 
 
-def write_mart_table(staged: DataFrame, path: str) -> int:
-    """Rebuild the hourly mart partitioned by the day of the bucket; dynamic partition overwrite replaces only
-    the days present in the input."""
+def write_mart_table(staged: DataFrame, path: str, whole_days_only: bool = False) -> int:
+    """Rebuild the hourly mart, partitioned by the day of the bucket. By default the table is replaced as a whole, so
+    it always equals a one-shot build of ``staged``. ``whole_days_only`` keeps other days and replaces only days after
+    the first one present, which a moving cut-off may have left incomplete."""
     from pyspark.sql import Observation
 
-    spark = staged.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     obs = Observation("mart")
     mart = hourly_rollup(staged).withColumn("hour_date", F.to_date("hour_bucket"))
+    if whole_days_only:
+        first = staged.agg(F.to_date(F.min("event_time")).alias("_first"))            # one row
+        mart = mart.join(F.broadcast(first), F.col("hour_date") > F.col("_first")).drop("_first")
     # observed above the range exchange: the partitioner's sampling job must not count rows
     mart.repartitionByRange("hour_date", "sensor_id", "hour_bucket").observe(obs, F.count(F.lit(1)).alias("rows")) \
-        .sortWithinPartitions("sensor_id", "hour_bucket").write.mode("overwrite").partitionBy("hour_date").parquet(path)
+        .sortWithinPartitions("sensor_id", "hour_bucket").write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic" if whole_days_only else "static") \
+        .partitionBy("hour_date").parquet(path)
     return int(obs.get["rows"])
 
 

@@ -81,3 +81,60 @@ def test_readings_records_json(spark):
     rec = readings_records(latest_readings(load_readings(spark, SF001), 5), as_json=True).collect()
     obj = json.loads(rec[0].record)
     assert {"sensor_id", "timestamp", "temperature", "humidity", "soil_moisture"} <= set(obj)
+
+
+def test_one_sensor_alone_equals_its_batch_row(spark):
+    r = load_readings(spark, SF001)
+    small = {"num_trees": 20, "max_depth": 8}
+    batch = {x.sensor_id: x for x in P.predict_batch(r, forest_params=small).collect()}
+    for sid in sorted(batch)[:4]:
+        one = P.predict_one(r, sid, forest_params=small).collect()
+        assert len(one) == 1
+        for c in batch[sid].asDict():
+            assert one[0][c] == batch[sid][c], (sid, c)
+        curve = one[0].predicted_decay_curve
+        assert [p.hours_from_now for p in curve] == list(range(337))
+        assert one[0].watering_frequency_analysis.average_days_between_watering == 7
+
+
+CORES = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from soilcast.session import local_session
+from soilcast.plans import predict as P
+from soilcast.sources.readings import load_readings
+s = local_session(cores=int(sys.argv[2]))
+r = P.predict_batch(load_readings(s, sys.argv[3])).collect()
+print("ROWS", sorted(str((x.sensor_id, x.urgency, x.hours_from_now, x.predicted_moisture, x.status)) for x in r))
+"""
+
+
+def test_the_answer_does_not_depend_on_the_cores():
+    """The full forest on two and on four cores, each in a session of its own."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = [subprocess.run([sys.executable, "-c", CORES, root, str(n), SF001], capture_output=True, text=True,
+                          timeout=900).stdout.split("ROWS", 1)[1] for n in (2, 4)]
+    assert out[0] == out[1]
+
+
+def test_degenerate_sensors_do_not_stop_the_others(spark):
+    import datetime as dt
+    from soilcast.operators import decay
+    from soilcast.schema import READINGS
+    t0, rows = dt.datetime(2025, 1, 1), []
+    for i in range(40):
+        rows += [(i, "same-time", t0, 20.0, 50.0, 0.5 - i * 0.001, None),
+                 (i + 100, "constant", t0 + dt.timedelta(hours=i), 20.0, 50.0, 0.5, None),
+                 (i + 200, "healthy", t0 + dt.timedelta(hours=i), 20.0, 50.0, 0.6 - i * 0.005, None)]
+    rows += [(i + 300, "ten", t0 + dt.timedelta(hours=i), 20.0, 50.0, 0.6 - i * 0.01, None) for i in range(10)]
+    df = spark.createDataFrame(rows, READINGS)
+    got = {x.sensor_id: x for x in P.predict_batch(df).collect()}
+    assert set(got) == {"same-time", "constant", "healthy", "ten"}
+    assert all(x.hours_from_now is not None for x in got.values())
+    fit = {x.sensor_id: x for x in decay.decay_fit(df).collect()}
+    assert fit["same-time"].A is not None and fit["constant"].confidence in (0.3, 0.95)
+    assert decay.decay_curve(decay.decay_fit(df)).count() == 4 * 337

@@ -68,15 +68,67 @@ def test_validate_submission_reasons(spark):
     assert [r.event_id for r in rows] == list(range(10))
 
 
-def test_submissions_split_long_weeks(spark):
-    """A week longer than the request size becomes consecutive parts; no reading is dropped."""
-    from conftest import series_df
+def test_a_long_week_is_one_submission(spark):
+    """A sensor-week of more than 10,000 readings stays one request, whole and in time order."""
     from soilcast.sources.submissions import submissions_from_readings
-    df = series_df(spark, "SENSOR-1", [0.5] * 50, step_hours=0.05)
-    subs = submissions_from_readings(df, max_readings=20).collect()
-    sizes = sorted(len(s.moisture_readings) for s in subs)
-    assert sum(sizes) == 50 and max(sizes) <= 20
-    assert all(list(s.timestamps) == sorted(s.timestamps) for s in subs)
+    df = spark.range(12_000).select(
+        F.col("id").alias("event_id"), F.lit("SENSOR-1").alias("sensor_id"),
+        F.timestamp_add("SECOND", (F.col("id") * 40).cast("int"), F.lit("2025-09-01 00:00:00").cast("timestamp_ntz"))
+        .alias("event_time"), F.lit(0.5).alias("soil_moisture"))
+    subs = submissions_from_readings(df).collect()
+    assert [len(s.moisture_readings) for s in subs] == [12_000]
+    assert list(subs[0].timestamps) == sorted(subs[0].timestamps)
+
+
+def test_null_arrays_are_rejected(spark):
+    from soilcast.sources.submissions import SUBMISSION_REASONS, validate_submission
+    ok = ["2025-09-30T10:00:00"] * 10
+    df = spark.createDataFrame([("a", None, None, ok), ("b", None, [0.5] * 10, None), ("c", None, None, None)],
+                               "submission_id string, sensor_id string, moisture_readings array<double>, timestamps array<string>")
+    got = {r.submission_id: (r.n_readings, r.status, r.reason) for r in validate_submission(df).collect()}
+    assert got == {"a": (0, "rejected", SUBMISSION_REASONS[0]), "b": (10, "rejected", SUBMISSION_REASONS[0]),
+                   "c": (0, "rejected", SUBMISSION_REASONS[1])}
+
+
+def test_parse_iso_forms_equal_python(spark):
+    import datetime as dt
+    from soilcast.functions.timefn import parse_iso
+    texts = ["2025-09-30T10", "2025-09-30 10:00", "20250930T100000", "2025-09-30T10:00:00+02", "2025-09-30", "x", "",
+             "2025-09-30T10:00:00.123456789Z", "2025-09-30T10:00:00-05:30", "2025-13-01", "2025-02-30T00:00",
+             "2024-03-10T02:30:00", "2025-09-30T10:00:00.5"]
+    want = []
+    for t in texts:
+        try:
+            v = dt.datetime.fromisoformat(t)
+            want.append(v.astimezone(dt.timezone.utc).replace(tzinfo=None) if v.tzinfo else v)
+        except ValueError:
+            want.append(None)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+            assert [r.p for r in df.select("i", parse_iso(F.col("t")).alias("p")).orderBy("i").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_malformed_messages(spark):
+    import base64
+    from soilcast.sources import messages as M
+    good = '{"sensor_id":"a","timestamp":"2025-09-30T10","soil_moisture":%s}'
+    cases = [(good % "0.5", None), (good % '"0.5"', None), (good % "null", None), (good % '"NaN"', "measure"),
+             (good % '"abc"', "measure"), (good % "0.5" + " x", "decode"), (good % "0.5" + "}", "decode"),
+             (good % "0.5" + "," + good % "0.5", "decode"), (b'{"sensor_id":"\xff"}', "decode"), ("[1]", "decode"),
+             ("null", "decode"), ("", "decode"), ('{"timestamp":"2025-09-30"}', "sensor"), ('{"sensor_id":"a"}', "time")]
+    enc = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    rows = [(i, enc(t)) for i, (t, _) in enumerate(cases)] + [(90, "%%%"), (91, None)]
+    got = {r.event_id: r for r in M.parse_messages(spark.createDataFrame(rows, "event_id long, body string")).collect()}
+    for i, (_, why) in enumerate(cases):
+        assert got[i].reject_reason == (why and M.REJECT_REASONS[why]), cases[i]
+    assert {got[90].reject_reason, got[91].reject_reason} == {M.REJECT_REASONS["decode"]}
+    twice = enc('{"sensor_id":"a","sensor_id":"b","timestamp":"2025-09-30"}')
+    assert M.parse_messages(spark.createDataFrame([(1, twice)], "event_id long, body string")).first().sensor_id == "b"
 
 
 def test_parse_iso_offsets(spark):

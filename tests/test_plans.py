@@ -43,3 +43,15 @@ def test_decay_passes_read_checkpointed_points_only(spark):
     # the raw table is read once, by the checkpoint of the bounded tails; the passes start from that leaf
     # (their exchanges move at most 168 points per sensor, never the input)
     assert "FileScan" not in p and "Scan ExistingRDD" in p
+
+
+def test_analysis_reads_its_input_once(spark, monkeypatch):
+    """The series columns are read by one scan; everything else starts from their checkpoint."""
+    from soilcast.plans import predict as P
+
+    scans = []
+    real = P.cut_lineage
+    monkeypatch.setattr(P, "cut_lineage", lambda df: scans.append(_plan(df).count("FileScan parquet")) or real(df))
+    a = P.analyze(load_readings(spark, SF001), use_forest=False, method="exponential")
+    # the second cut is of the checks, which also start from the checkpoint
+    assert scans == [1, 0] and "FileScan parquet" not in _plan(a.results)

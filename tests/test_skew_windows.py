@@ -10,10 +10,8 @@ from soilcast.schema import READINGS
 
 
 @pytest.fixture(autouse=True)
-def force_chunks(spark):
-    spark.conf.set("soilcast.skewRows", "0")
-    yield
-    spark.conf.unset("soilcast.skewRows")
+def small_chunks(monkeypatch):
+    monkeypatch.setattr(W, "CHUNK_ROWS", 7)
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +41,7 @@ def _plain(df, halo):
 
 @pytest.mark.parametrize("halo", [1, 5, 24])
 def test_chunked_equals_whole_series(spark, skewed, halo):
-    c = W.chunked_series(skewed, halo)
+    c = W.series_frame(skewed, halo)
     w = W.chunk_window(skewed)
     got = c.select("event_id", "rn", W.HALO, F.avg("soil_moisture").over(w.rowsBetween(-halo, 0)).alias("avg"),
                    F.lag("soil_moisture", halo).over(w).alias("lagh")).where(~F.col(W.HALO)).drop(W.HALO)
@@ -63,13 +61,13 @@ def test_history_features_on_hot_sensor(spark, skewed):
     assert f.count() == skewed.groupBy("sensor_id").count().select(F.sum(F.greatest(F.col("count") - 24, F.lit(0)))).collect()[0][0]
 
 
-def test_operators_chunked_equal_plain(spark, skewed):
+def test_operators_chunked_equal_plain(spark, skewed, monkeypatch):
     """The registered window operators give the same rows with and without chunking."""
     cols = ["event_id", "moisture_24h_avg", "prev_moisture"]
     chunked = W.sensor_analytics(skewed).select(*cols).collect()
     feats_c = W.history_features(skewed).drop("rn").collect()
     split_c = W.train_split(skewed).collect()
-    spark.conf.set("soilcast.skewRows", str(10 ** 9))
+    monkeypatch.setattr(W, "CHUNK_ROWS", 10 ** 9)
     plain = W.sensor_analytics(skewed).select(*cols).collect()
     feats_p = W.history_features(skewed).drop("rn").collect()
     split_p = W.train_split(skewed).collect()
@@ -94,7 +92,7 @@ def test_chunked_property(spark, days, halo, seed):
     if not rows:
         return
     df = spark.createDataFrame(rows, READINGS)
-    c = W.chunked_series(df, halo)
+    c = W.series_frame(df, halo)
     w = W.chunk_window(df)
     got = {r.event_id: (r.rn, r.lagh, r.s) for r in c.select(
         "event_id", "rn", W.HALO, F.lag("soil_moisture", halo).over(w).alias("lagh"),
@@ -107,7 +105,6 @@ def test_chunked_property(spark, days, halo, seed):
 
 def test_history_features_environment_columns(spark, skewed):
     """The one extension hook: environment columns replace the constants 20 / 50 / 12 / 1.0 when given."""
-    spark.conf.set("soilcast.skewRows", str(10 ** 9))
     df = skewed.withColumn("light", F.lit(9.5))
     f = W.history_features(df, env_cols={"temperature": "temperature_c", "humidity": "humidity_pct",
                                          "light_hours": "light"}).select(*W.FEATURE_NAMES[-4:]).distinct().collect()

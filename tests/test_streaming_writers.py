@@ -1,4 +1,5 @@
 """Streaming ingest and roll-up, table writers, pipeline run."""
+import datetime as dt
 import os
 
 from pyspark.sql import functions as F
@@ -89,3 +90,77 @@ def test_writers_and_pipeline(spark, scratch):
                        os.path.join(scratch, "p_mart"))
     assert res["status"] == "success" and res["records_processed"] == 1000 and res["records_rejected"] == 0
     assert res["mart_rows"] == hourly_rollup(r).count()
+
+
+def test_ten_different_bad_messages_all_reach_the_rejects(spark, scratch):
+    inp = os.path.join(scratch, "in")
+    spark.createDataFrame([(i, f"?{i}") for i in range(10)], "event_id long, body string").write.parquet(inp)
+    ST.stream_ingest(ST.message_stream(spark, inp), os.path.join(scratch, "t"), os.path.join(scratch, "r"),
+                     os.path.join(scratch, "c"), dedup=True).awaitTermination(300)
+    assert spark.read.parquet(os.path.join(scratch, "r")).count() == 10
+
+
+def test_hourly_rollup_is_the_same_in_any_zone(spark, scratch):
+    """Wall times around the New York clock change, and half-hour Kolkata: stream equals batch."""
+    rows = [(i, "S", dt.datetime(2024, 3, 10, h, m), 20.0, 50.0, 0.5, None) for i, (h, m) in enumerate(
+        [(1, 30), (2, 10), (2, 30), (2, 40), (3, 30), (4, 10), (12, 0)])]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            from soilcast.schema import READINGS
+            r = spark.createDataFrame(rows, READINGS)
+            src, out = os.path.join(scratch, z, "src"), os.path.join(scratch, z, "out")
+            r.write.parquet(src)
+            ST.stream_hourly_rollup(spark.readStream.schema(r.schema).parquet(src)).writeStream.format("parquet") \
+                .outputMode("append").option("checkpointLocation", os.path.join(scratch, z, "c")) \
+                .trigger(availableNow=True).start(out).awaitTermination(300)
+            got, batch = spark.read.parquet(out), hourly_rollup(r)
+            emitted = got.select(batch.columns)
+            assert emitted.exceptAll(batch).count() == 0
+            late = batch.where(F.col("hour_bucket") < F.lit("2024-03-10 09:00:00").cast("timestamp_ntz"))
+            assert late.exceptAll(emitted).count() == 0 and late.count() == 4
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_kafka_shaped_records(spark):
+    rec = _messages(spark).limit(20).select(
+        F.lit(None).cast("binary").alias("key"), F.encode("body", "UTF-8").alias("value"), F.lit("t").alias("topic"),
+        F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.current_timestamp().alias("timestamp"),
+        F.lit(0).alias("timestampType"))
+    got = M.parse_messages(ST.from_kafka(rec))
+    assert got.where("reject_reason is null").count() == 20 and {"topic", "partition"} <= set(got.columns)
+
+
+def test_mart_rebuilds_equal_a_one_shot_build(spark, scratch):
+    from soilcast.operators.staging import staging_readings
+    r = load_readings(spark, SF001)
+    path = os.path.join(scratch, "mart")
+    newest = r.agg(F.max("event_time")).first()[0]
+    steps = [newest - dt.timedelta(hours=h) for h in (18, 12, 6, 0)]
+    for as_of in steps:
+        staged = staging_readings(r, as_of, 5)
+        WR.write_mart_table(staged, path)
+        got, one = spark.read.parquet(path), hourly_rollup(staged)
+        assert got.count() == one.count() and got.select(one.columns).exceptAll(one).count() == 0
+    days = os.path.join(scratch, "days")
+    for as_of in steps:
+        WR.write_mart_table(staging_readings(r, as_of, 5), days, whole_days_only=True)
+    got = spark.read.parquet(days)
+    full = hourly_rollup(r).join(got.select("hour_date").distinct(), F.to_date("hour_bucket") == F.col("hour_date")).drop("hour_date")
+    assert got.select(full.columns).exceptAll(full).count() == 0 and got.count() == full.count()
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def test_rerunning_the_pipeline_adds_nothing(spark, scratch):
+    msgs = _messages(spark).unionByName(spark.createDataFrame([(10 ** 9, "???")], "event_id long, body string"))
+    paths = [os.path.join(scratch, x) for x in ("raw", "rej", "mart")]
+    first = pipeline_run(spark, msgs, *paths)
+    again = pipeline_run(spark, msgs, *paths)
+    assert first == again and first["records_rejected"] == 1
+    assert spark.read.parquet(paths[0]).count() == 1000 and spark.read.parquet(paths[1]).count() == 1
+    assert sorted(os.listdir(scratch)) == ["mart", "raw", "rej"]
+    other = pipeline_run(spark, msgs.limit(5), *paths, batch_id="second")
+    assert other["records_processed"] + other["records_rejected"] == 5
+    assert spark.read.parquet(paths[0]).count() + spark.read.parquet(paths[1]).count() == 1006
