@@ -67,11 +67,12 @@ def crc32c(blocks: list[bytes]) -> np.ndarray:
     byte change nothing once the register starts at 0), all rows advance together, then rows are joined per block."""
     eight, shift = _TABLES if _TABLES else _fill_tables()
     out = np.zeros(len(blocks), np.uint32)
-    rows = [max(1, -(-max(4, len(b)) // _ROW)) for b in blocks]
-    buf = np.zeros((sum(rows), _ROW), np.uint8)
+    width = _ROW if max(map(len, blocks), default=0) > 8 else 8  # the 8-byte lengths need no long rows
+    rows = [max(1, -(-max(4, len(b)) // width)) for b in blocks]
+    buf = np.zeros((sum(rows), width), np.uint8)
     flat, at, short = buf.reshape(-1), 0, []
     for k, (b, n) in enumerate(zip(blocks, rows)):
-        at += n * _ROW
+        at += n * width
         if len(b) < 4:
             short.append(k)
             continue
@@ -79,7 +80,7 @@ def crc32c(blocks: list[bytes]) -> np.ndarray:
         flat[at - len(b):at - len(b) + 4] ^= 0xFF  # the register's start value, on the first four bytes
     reg = np.zeros(len(buf), np.uint32)
     words = buf.view("<u4")
-    for j in range(0, _ROW // 4, 2):
+    for j in range(0, width // 4, 2):
         a, b = words[:, j] ^ reg, words[:, j + 1]
         reg = (eight[7][a & 255] ^ eight[6][(a >> 8) & 255] ^ eight[5][(a >> 16) & 255] ^ eight[4][a >> 24]
                ^ eight[3][b & 255] ^ eight[2][(b >> 8) & 255] ^ eight[1][(b >> 16) & 255] ^ eight[0][b >> 24])
