@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from soilcast.llm.common import cut_lineage, fresh, id_key, row_hash, ship
+from soilcast.llm.common import cut_lineage, fresh, id_key, row_hash, ship, written
 
 ship(__name__)
 
@@ -205,9 +205,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = cut_lineage(components(candidate_links(classes.select("fp"), radius, block)))
     roots = comp.join(classes, comp.node == classes.fp).groupBy("root").agg(F.min("least_id").alias("comp_id"))
     linked = comp.join(roots, "root").select(F.col("node").alias("fp"), "comp_id", "root")
-    ids = classes.join(linked, "fp", "left").select(
+    # a written table forgets its partitioning: the last join deals both sides anew and can split a hot fingerprint
+    ids = written(classes.join(linked, "fp", "left").select(
         "fp", F.when(F.col("root").isNotNull(), F.col("comp_id")).otherwise(F.col("least_id")).alias("component_id"),
-        F.coalesce("root", "fp").alias("group_key"))
+        F.coalesce("root", "fp").alias("group_key")), "simhash-ids")
     return fp.join(ids, "fp").select("doc_id", *(keep or {}),
                                      F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
                                      "group_key")
