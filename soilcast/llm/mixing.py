@@ -31,8 +31,8 @@ from soilcast.llm.common import SPACE, WORD, cut_lineage, fresh, text_or_empty
 WEIGHTS = (3, 1, 2)
 BUDGET, MOST = 1.5, 2
 BLOCK_WORDS = 32
-SHARD_WORDS = 1 << 22
-BUCKETS = 4096
+SHARD_WORDS = 1 << 19
+BUCKETS = 1 << 16
 SEED = 42
 
 
