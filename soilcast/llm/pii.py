@@ -54,7 +54,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _LEAD = r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?)"
 _SECRET = r"[A-Za-z0-9_+/=-]{8,}"
 _PREFIXED = (r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abps]-[A-Za-z0-9-]{10,}"
-             r"|[0-9a-f]{32,}(?![A-Za-z0-9]))")
+             r"|(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9]))")
 _EMAIL = r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 _IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _PHONE = (r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}"
@@ -117,9 +117,10 @@ def _pick(seed: Column, i, chars: str) -> Column:
 def _masked(value: Column, seed: Column, keep: Column | None = None) -> Column:
     """The value with every digit and letter replaced by one of its class; the first ``keep`` characters stay."""
     hexed = F.rlike(value, F.lit("^(?=.*[a-f])[0-9a-f]{8,}$"))
+    upper_hexed = F.rlike(value, F.lit("^(?=.*[A-F])(?=.*[0-9])[0-9A-F]{8,}$"))
 
     def one(c: Column, i: Column) -> Column:
-        new = (F.when(hexed, _pick(seed, i, HEX)).when(F.rlike(c, F.lit("^[0-9]$")), _pick(seed, i, DIGITS))
+        new = (F.when(hexed, _pick(seed, i, HEX)).when(upper_hexed, F.upper(_pick(seed, i, HEX))).when(F.rlike(c, F.lit("^[0-9]$")), _pick(seed, i, DIGITS))
                .when(F.rlike(c, F.lit(r"^\p{Lu}$")), _pick(seed, i, UPPER))
                .when(F.rlike(c, F.lit(r"^\p{L}$")), _pick(seed, i, LOWER)).otherwise(c))
         return F.when(i < keep, c).otherwise(new) if keep is not None else new
