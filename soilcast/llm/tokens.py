@@ -8,6 +8,7 @@ do all texts of other vocabularies."""
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -20,7 +21,8 @@ WORD_BPE = "word_bpe_49k.json"
 # How a vocabulary treats the white space in front of a chunk: a part of it, or dropped.
 LEADING = {BYTE_BPE: True, WORD_BPE: False}
 END_ID = 0
-CACHE = 400_000
+CACHE = 600_000
+KEPT = 150_000  # entries that stay when the cache is full: the first met, so mostly the commonest
 _SLICE = 1 << 22
 _ODD = re.compile("[\x1c-\x1f]")
 # A chunk of Latin-1 letters and ASCII signs (no apostrophe or digit: the split rules treat those in ways of their own).
@@ -70,6 +72,11 @@ class Encoder:
         self.ends = np.zeros(CACHE * 2, np.int64)  # ends[i]: end of entry i - 1 in ids
         self.used = 0
 
+    def _shrink(self):
+        kept = _Index()
+        kept.update(islice(self.index.items(), KEPT))
+        self.index, self.used = kept, int(self.ends[len(kept)])
+
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
@@ -111,7 +118,7 @@ class Encoder:
     def _chunks_to_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per chunk)."""
         if len(self.index) > CACHE:
-            self._reset()
+            self._shrink()
         at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
         if self.index.new:
             self._learn(self.index.new)

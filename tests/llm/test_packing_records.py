@@ -32,6 +32,10 @@ def test_encoder_equals_library(name, monkeypatch):
     want = plain(name, texts)
     for _ in range(2):  # the second time from the cache
         assert [list(map(int, x)) for x in enc.encode(texts)] == want
+    monkeypatch.setattr(T, "CACHE", 300)
+    monkeypatch.setattr(T, "KEPT", 50)
+    for at in range(0, len(texts), 40):  # the cache shrinks again and again
+        assert [list(map(int, x)) for x in enc.encode(texts[at:at + 40])] == want[at:at + 40]
     monkeypatch.setattr(T, "_SLICE", 20)
     assert [list(map(int, x)) for x in enc.encode(texts)] == want
 
