@@ -27,11 +27,13 @@ SYMBOLS = "#*$%&|<>"
 EM_STEPS = 30
 PRIOR_GOOD = 0.8
 THRESHOLD = 0.5
-START_GOOD, START_BAD = 1.2, 50.0
-PSEUDO = 0.1
-# What the rules are written for bounds the estimates, as without bounds EM settles on any two clusters: at most this
-# share of good documents trips a rule, and a rule knows one kind of fault, so it passes at least this share of bad ones.
-FALSE_ALARM, PASSES_BAD = 0.002, 0.5
+START_GOOD, START_BAD = 1.2, 8.0
+# Beta priors (mean, weight) of a rule's error rates, which keep EM near what the rules are written for and leave the
+# estimates to the data: a rule misfires on some good documents, so one bad vote against good votes of the others is no
+# verdict. The prior of false alarms weighs a tenth of the documents a rule votes on, as a rule that never misfired
+# in one corpus may in a script or format it has not met; that of passed bad documents weighs a few documents.
+FALSE_ALARM, ALARM_WEIGHT = 0.05, 0.1
+PASSES_BAD, PASSES_WEIGHT = 0.6, 20.0
 # The estimated share of good documents stays this far from 0 and 1.
 SHARE_FLOOR = 0.01
 
@@ -81,7 +83,11 @@ def features(docs: DataFrame, text_col: str = "text", into: str = "f") -> DataFr
         return (F.char_length(rest) - F.char_length(F.translate(F.col(rest), chars, ""))).cast("long")
 
     upper = F.regexp_count(rest, F.lit(r"\p{Lu}"))
-    others = F.regexp_count(rest, F.lit(r"\P{L}"))
+    # a combining mark is part of its letter: scripts such as Devanagari write vowels with them
+    others = F.regexp_count(rest, F.lit(r"[^\p{L}\p{M}]"))
+    signed = F.regexp_count(text, F.lit(f"[{SYMBOLS}]+"))
+    # a word that is its left neighbour again
+    again = F.size(F.filter(F.col(h), lambda x, i: F.coalesce(F.get(F.col(h), i - 1) == x, F.lit(False))))
     return t.withColumn(into, F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.col(chars_in).cast("long").alias("word_chars"),
@@ -94,13 +100,16 @@ def features(docs: DataFrame, text_col: str = "text", into: str = "f") -> DataFr
         F.size(F.array_distinct(h)).cast("long").alias("n_distinct"),
         count(".!?").alias("n_stops"),
         count("!").alias("n_bangs"),
+        signed.cast("long").alias("n_signed"),
+        again.cast("long").alias("n_again"),
     )).drop(w, h, lines, rest, chars_in)
 
 
 def votes(f: str = "f") -> dict[str, Column]:
     """The rules: each gives 1 (good), -1 (bad) or 0 (abstains) from the counts. Ratios of an empty text abstain."""
     c = {n: F.col(f"{f}.{n}") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                        "n_lines", "n_letters", "n_upper", "n_distinct", "n_stops", "n_bangs")}
+                                        "n_lines", "n_letters", "n_upper", "n_distinct", "n_stops", "n_bangs",
+                                        "n_signed", "n_again")}
 
     def rule(part: Column, whole: Column, good: Column | float, bad: Column | float, least: int = 1) -> Column:
         """good if part/whole is below ``good``, bad if above ``bad``; abstains between, and if whole < least."""
@@ -115,6 +124,8 @@ def votes(f: str = "f") -> dict[str, Column]:
         "stops": rule(c["n_stops"], c["n_words"], 0.4, 0.8, 5),
         "letters": -rule(c["n_letters"], c["word_chars"], 0.7, 0.9, 20),
         "lines": rule(c["n_dup_lines"], c["n_lines"], 0.3, 0.6, 4),
+        "signed": rule(c["n_signed"], c["n_words"], 0.2, 0.4),
+        "again": rule(c["n_again"], c["n_words"], 0.1, 0.3, WINDOW),
     }
 
 
@@ -138,7 +149,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = EM_STEPS, prio
 
     Returns the share of good documents, and per rule {vote: (P(vote | good), P(vote | bad))}. It starts from what
     the rules are written for: most text passes each of them, so a good vote is weak evidence (odds START_GOOD) and a
-    bad vote strong evidence (odds START_BAD)."""
+    bad vote stronger evidence (odds START_BAD), of which two are needed."""
     total = sum(n for _, n in patterns)
     if not total:
         return prior, []
@@ -158,10 +169,10 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = EM_STEPS, prio
             said = [(p[j], n * q, n * (1 - q)) for (p, n), q in zip(patterns, post) if p[j]]
             g, b = sum(x for _, x, _ in said), sum(x for _, _, x in said)
             table = {0: (1.0, 1.0)}
-            # a part of a pseudo-document per vote keeps rates off zero
-            alarm = (sum(x for v, x, _ in said if v < 0) + PSEUDO) / (g + 2 * PSEUDO)
-            passes = (sum(x for v, _, x in said if v > 0) + PSEUDO) / (b + 2 * PSEUDO)
-            alarm, passes = min(alarm, FALSE_ALARM), max(passes, PASSES_BAD)
+            # a pseudo-document more keeps rates off zero where no rule voted
+            w = ALARM_WEIGHT * g + 1
+            alarm = (sum(x for v, x, _ in said if v < 0) + w * FALSE_ALARM) / (g + w)
+            passes = (sum(x for v, _, x in said if v > 0) + PASSES_WEIGHT * PASSES_BAD) / (b + PASSES_WEIGHT)
             table[-1], table[1] = (alarm, 1 - passes), (1 - alarm, passes)
             rates.append(table)
         post = [posterior(p, good, rates) for p, _ in patterns]

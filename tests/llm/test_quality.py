@@ -79,6 +79,39 @@ def test_agreement_with_labels(spark):
     assert sum(r.kept for r in junk) <= 0.05 * len(junk)
 
 
+HINDI = ("किसान ने खेत में मिट्टी की नमी मापी और पानी देने का समय चुना। सुबह की ठंडी हवा में पौधे धीरे धीरे बढ़ते हैं, "
+         "इसलिए सिंचाई बहुत जल्दी नहीं करनी चाहिए। पिछले साल बारिश कम हुई थी, फिर भी फसल अच्छी रही। "
+         "गाँव के लोगों ने मिलकर नया कुआँ खोदा, जिससे तीन सौ परिवारों को लाभ मिला। अब हर सप्ताह आँकड़े लिखे जाते हैं।")
+CODE = "\n".join(["def mean_moisture(rows, n0=10):", "    total, k = 0.0, 0", "    for r in rows[:n0]:",
+                  "        if r['v'] >= 0.25:", "            total += r['v']; k += 1",
+                  "    return total / max(k, 1)", "", "def week_of(t0, t1):", "    days = (t1 - t0) / 86400.0",
+                  "    return int(days // 7) + 1", "", "print(mean_moisture([{'v': 0.31}, {'v': 0.27}]))"])
+TABLE = "\n".join(["| Sensor place in the field | What was seen this week |", "| North gate beside the barn | Dry soil since Monday morning |",
+                   "| South slope below the trees | Wet after the long rain |", "| Old well near the road | Pump repaired by two neighbours |",
+                   "| Lower meadow along the river | Frost on several early mornings |",
+                   "| Greenhouse behind the school | Seedlings grow without any trouble |"])
+
+
+def test_one_bad_vote_does_not_reject_clean_documents(spark):
+    corpus = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    names = list(Q.votes())
+    extra = spark.createDataFrame([(-1, HINDI), (-2, CODE), (-3, TABLE)], "doc_id long, text string")
+    docs = corpus.unionByName(extra)
+    voted = Q.features(docs).select("doc_id", Q.vote_array().alias("v"))
+    model = Q.fit(Q.pattern_counts(voted, "v"))
+    for j, name in enumerate(names):
+        one = tuple(-1 if i == j else 1 for i in range(len(names)))
+        assert Q.posterior(one, *model) >= 0.5, name
+        two = tuple(-1 if i in (j, (j + 1) % len(names)) else 1 for i in range(len(names)))
+        assert Q.posterior(two, *model) < 0.5, name
+    got = {r.doc_id: dict(zip(names, r.v)) for r in voted.where("doc_id < 0").collect()}
+    assert got[-1]["letters"] == 1  # marks are parts of letters
+    assert [k for k, v in got[-2].items() if v < 0] == ["letters"]
+    assert [k for k, v in got[-3].items() if v < 0] == ["symbols"]
+    kept = {r.doc_id for r in Q.judge(docs).where("kept and doc_id < 0").collect()}
+    assert kept == {-1, -2, -3}
+
+
 def test_awkward_rows(spark):
     df = awkward(spark)
     got = Q.judge(df)
