@@ -3,8 +3,9 @@
 Both vocabularies used here never merge across the start of a white-space run, so a text's ids are the concatenation
 of the ids of its chunks. Each distinct chunk is encoded by the ``tokenizers`` library once per worker (a bounded
 cache) and looked up after that; results equal the library's encoding of the whole text (tested). Texts with one of
-the separators U+001C-U+001F, on which Python and the library disagree about white space, go to the library whole, as
-do all texts of other vocabularies."""
+the separators U+001C-U+001F, on which Python and the library disagree about white space, or with the string of an
+added token such as ``<|endoftext|>``, go to the library whole, as do all texts of other vocabularies. Ids are those of
+the file as it is, with add_special_tokens=False: an added token's string in a text is that token."""
 from __future__ import annotations
 
 import re
@@ -53,16 +54,20 @@ class _Index(dict):
 
 
 class Encoder:
-    """Encodes texts with the file at ``path``; ``leading`` is True, False or None (no chunks: whole texts only)."""
+    """Encodes texts with the file at ``path``; ``leading`` is True, False or None (no chunks: whole texts only).
+    ``special_as_text``: strings of special tokens in a text are ordinary text, else the tokens, as the file says."""
 
-    def __init__(self, path: str, leading: bool | None):
+    def __init__(self, path: str, leading: bool | None, special_as_text: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = special_as_text
+        # strings that the library takes out of a text before it splits it
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()
+                      if not (special_as_text and t.special)]
         self.leading = leading
         self._reset()
 
@@ -154,7 +159,7 @@ class Encoder:
                 where.clear(), sizes.clear(), chunks.clear()
 
         for i, t in enumerate(texts):
-            if self.leading is None or _ODD.search(t):
+            if self.leading is None or _ODD.search(t) or any(a in t for a in self.added):
                 out[i] = np.array(self._plain([t])[0], np.uint32)
             elif len(t) > _SLICE:
                 out[i] = self._long(t).astype(np.uint32)
@@ -168,10 +173,11 @@ class Encoder:
 
 
 def encoder(path: str, leading: bool | None) -> Encoder:
-    """The worker's encoder of a file: loaded once, its cache kept across tasks."""
+    """The worker's encoder of a file, with the ids of the library's default: loaded once, its cache kept across
+    tasks."""
     state = worker_state("encoders")
     if path not in state:
-        state[path] = Encoder(path, leading)
+        state[path] = Encoder(path, leading, special_as_text=False)
     return state[path]
 
 

@@ -164,3 +164,40 @@ def test_damaged_shard_is_noticed(spark, tmp_path):
     path.write_bytes(bytes(data))
     with pytest.raises(Exception, match="damaged record"):
         R.read_records(spark, str(tmp_path)).collect()
+
+
+def untouched(name, texts):
+    """Ids of the library with the file as it is."""
+    t = Tokenizer.from_file(T.vocabulary_path(name))
+    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+SPECIAL = ["one text<|endoftext|>next text", "a <|startoftext|>  b", "<|endoftext|>", "<|EndOfText|> x",
+           "<|end<|endoftext|>\n\n<|startoftext|>", "é<|endoftext|>́x  y"]
+
+
+@pytest.mark.parametrize("name", [T.BYTE_BPE, T.WORD_BPE])
+def test_operators_encoder_equals_the_untouched_library(name, monkeypatch):
+    rng = random.Random(5)
+    bits = [" ", "\n", "ab", "é", "'s", "12", "<|", "|>", "endoftext", "<|endoftext|>", "<|startoftext|>", "\x1c"]
+    texts = ODD + SPECIAL + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    enc = T.encoder(T.vocabulary_path(name), T.LEADING[name])
+    want = untouched(name, texts)
+    for _ in range(2):  # the second time from the cache
+        assert [list(map(int, x)) for x in enc.encode(texts)] == want
+    monkeypatch.setattr(T, "_SLICE", 20)
+    assert [list(map(int, x)) for x in enc.encode(texts)] == want
+
+
+def test_added_tokens_in_documents(spark):
+    docs = dict(enumerate(SPECIAL + ["plain words after them"]))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    ids = {i: np.array([*x, 0], "<u4") for i, x in zip(docs, untouched(T.WORD_BPE, list(docs.values())))}
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in P.pack_documents(df).collect()}
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()}
+    want, start = [], 0
+    for i, x in zip(docs, untouched(T.BYTE_BPE, list(docs.values()))):
+        x = np.array([*x, 0], "<u4")
+        want.append((i, start, len(x), zlib.crc32(x.tobytes())))
+        start += len(x)
+    assert sorted(map(tuple, R.round_trip(df).collect())) == want
