@@ -2,14 +2,16 @@
 
 Detected: e-mail addresses, IPv4 addresses, phone numbers, 123-45-6789 numbers, card and account numbers of 13 to 19
 digits, secrets (after a word such as ``token =``, by a known key prefix, or hex strings of 32 or more), and person
-names (after a title, or a known given name before a capitalised name) in Latin and Cyrillic script.
+names (after a title, or a known given name before a capitalised name; with particles, as McDonald or O'Brien, in
+capitals) in Latin and Cyrillic script, and the bare mentions of their surnames in the same text.
 
 Surrogates: a keyed digest of (kind, value) picks a replacement of the same kind and format: digits for digits, letters
 for letters of the same case, hex for hex; a phone keeps its country code, a card its Luhn validity; an e-mail domain
 maps by itself, below ``.example``; given names keep gender and script, names their capitalisation. Names are replaced
 word by word, so ``Mr. Smith`` and ``John Smith`` stay one family.
 
-Distinctness and coreference: the digest makes equal values equal everywhere. All distinct values of the corpus are
+Distinctness and coreference: the digest makes equal values equal everywhere. Names and e-mail addresses are equal
+without case, cards and phones by their digits; the found format is written again. All distinct values of the corpus are
 checked: two values with one surrogate, or a surrogate that is itself a value of the corpus, are given a further
 attempt until every value has its own; values that needed one are kept in a table of exceptions, joined when texts are
 rewritten.
@@ -49,7 +51,13 @@ ENDINGS = {"m_latin": "o en us".split(), "f_latin": "a ia ine".split(), "x_latin
 
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?"
 _GIVEN = "(?:" + "|".join(n for ns in GIVEN.values() for n in ns) + ")"
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_PARTICLES = "van von der den de del della la le du da dos di bin ibn al el ten ter zu".split()
+# McDonald, O'Brien, DeLuca; a name in capitals stands among names in capitals
+_WORD_OF_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)?"
+_NAME = rf"{_WORD_OF_NAME}(?:-{_WORD_OF_NAME})?"
+_CAPS = r"(?:\p{Lu}['’])?\p{Lu}{2,}(?:-\p{Lu}{2,})?"
+_PARTICLE = "(?:(?:" + "|".join(_PARTICLES) + ") ){0,3}"
+_GIVEN_CAPS = "(?:" + "|".join(n.upper() for ns in GIVEN.values() for n in ns) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _LEAD = r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?)"
 _SECRET = r"[A-Za-z0-9_+/=-]{8,}"
@@ -61,9 +69,26 @@ _PHONE = (r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4
           r"|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")
 _SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{13,19})(?!\d)"
-_PERSON = rf"(?:{_TITLE} {_NAME}(?: {_NAME}){{0,2}}|{_GIVEN} {_NAME})(?!\p{{L}})"
-FIND = (r"(?<![\p{L}\p{N}])(?:" + "|".join([_LEAD + _SECRET, _PREFIXED, _EMAIL, _IP, _PHONE, _SSN, _CARD, _PERSON])
-        + ")")
+_PERSON = (rf"(?:{_TITLE} (?:{_PARTICLE}{_NAME}(?: {_PARTICLE}{_NAME}){{0,2}}(?!\p{{L}})"
+           rf"|{_CAPS}(?: {_CAPS}){{0,2}})|{_GIVEN} {_PARTICLE}{_NAME}|{_GIVEN} {_CAPS}|{_GIVEN_CAPS} {_CAPS})(?!\p{{L}})")
+_START = (r"(?<![\p{L}\p{N}])(?:" + "|".join([_LEAD + _SECRET, _PREFIXED, _EMAIL, _IP, _PHONE, _SSN, _CARD, _PERSON]))
+FIND = _START + ")"
+# Country codes of one and two digits; all others have three.
+_COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d{1,2}$)"
+# Lower-case letters by script, for letters beyond ASCII; scripts without cases have one row.
+ALPHABETS = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω",
+             "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת", "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+             "Han": "山水火木金土日月人口田石天地大小中上下東西南北"}
+
+
+def pattern_of(text: Column) -> Column:
+    """FIND and, as further findings, the bare mentions of every surname that FIND meets in the text."""
+    people = F.filter(F.regexp_extract_all(text, F.lit(FIND), F.lit(0)), lambda m: F.rlike(m, F.lit(f"^{_PERSON}$")))
+    last = F.array_distinct(F.transform(people, lambda m: F.substring_index(m, " ", -1)))
+    both = F.array_distinct(F.concat(last, F.transform(last, F.upper), F.transform(F.filter(
+        last, lambda w: F.upper(w) == w), F.initcap)))
+    return let(both, lambda b: F.when(F.size(b) == 0, F.lit(FIND)).otherwise(F.concat(
+        F.lit(_START + "|(?:"), F.array_join(b, "|"), F.lit(r")(?![\p{L}\p{N}]))"))))
 
 
 def _one_of(col: Column, values: list[str]) -> Column:
@@ -88,11 +113,12 @@ def tokens_of(found: Column) -> Column:
         has_title = F.rlike(parts[0], F.lit(f"^{_TITLE}$"))
 
         def one(w: Column, i: Column) -> Column:
-            known = F.when(_one_of(w, GIVEN["m_latin"] + GIVEN["m_cyrillic"]), "m").when(
-                _one_of(w, GIVEN["f_latin"] + GIVEN["f_cyrillic"]), "f")
+            known = F.when(_one_of(F.initcap(w), GIVEN["m_latin"] + GIVEN["m_cyrillic"]), "m").when(
+                _one_of(F.initcap(w), GIVEN["f_latin"] + GIVEN["f_cyrillic"]), "f")
             first = F.when(has_title, F.lit(1)).otherwise(F.lit(0))
+            particle = _one_of(w, _PARTICLES)
             given = (i == first) & (i < F.size(parts) - 1)
-            kind = F.when(has_title & (i == 0), "").when(
+            kind = F.when((has_title & (i == 0)) | particle, "").when(
                 given, F.concat(F.lit("given_"), F.coalesce(known, by_title), F.lit("_"), script(w))).otherwise(
                 F.concat(F.lit("surname_x_"), script(w)))
             return token(kind, w, F.when(i > 0, " ").otherwise(""))
@@ -114,20 +140,39 @@ def _pick(seed: Column, i, chars: str) -> Column:
                                           F.lit(len(chars))) + 1).cast("int"), F.lit(1))
 
 
-def _masked(value: Column, seed: Column, keep: Column | None = None) -> Column:
-    """The value with every digit and letter replaced by one of its class; the first ``keep`` characters stay."""
-    hexed = F.rlike(value, F.lit("^(?=.*[a-f])[0-9a-f]{8,}$"))
-    upper_hexed = F.rlike(value, F.lit("^(?=.*[A-F])(?=.*[0-9])[0-9A-F]{8,}$"))
+def _masked(value: Column, seed: Column, keep: Column | None = None, hexes: bool = True) -> Column:
+    """The value with every digit and letter replaced by one of its class and script; the first ``keep`` characters
+    stay. ``hexes``: hex strings stay hex."""
+    hexed = F.rlike(value, F.lit("^(?=.*[a-f])[0-9a-f]{8,}$")) & F.lit(hexes)
+    upper_hexed = F.rlike(value, F.lit("^(?=.*[A-F])(?=.*[0-9])[0-9A-F]{8,}$")) & F.lit(hexes)
 
     def one(c: Column, i: Column) -> Column:
-        new = (F.when(hexed, _pick(seed, i, HEX)).when(upper_hexed, F.upper(_pick(seed, i, HEX))).when(F.rlike(c, F.lit("^[0-9]$")), _pick(seed, i, DIGITS))
-               .when(F.rlike(c, F.lit(r"^\p{Lu}$")), _pick(seed, i, UPPER))
+        new = F.when(hexed, _pick(seed, i, HEX)).when(upper_hexed, F.upper(_pick(seed, i, HEX))).when(
+            F.rlike(c, F.lit("^[0-9]$")), _pick(seed, i, DIGITS)).when(
+            F.rlike(c, F.lit("^[a-z]$")), _pick(seed, i, LOWER)).when(F.rlike(c, F.lit("^[A-Z]$")), _pick(seed, i, UPPER))
+        for script, letters in ALPHABETS.items():
+            new = new.when(F.rlike(c, F.lit(rf"^[\p{{L}}&&\p{{Is{script}}}]$")), F.when(
+                F.rlike(c, F.lit(r"^\p{Lu}$")), _pick(seed, i, letters.upper())).otherwise(_pick(seed, i, letters)))
+        new = (new.when(F.rlike(c, F.lit(r"^\p{Lu}$")), _pick(seed, i, UPPER))
                .when(F.rlike(c, F.lit(r"^\p{L}$")), _pick(seed, i, LOWER)).otherwise(c))
         return F.when(i < keep, c).otherwise(new) if keep is not None else new
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
+
+
+def _in_format(value: Column, digits: Column) -> Column:
+    """The k-th digit of ``value`` replaced by the k-th of ``digits``; all else stays."""
+    def one(c: Column, i: Column) -> Column:
+        at = F.length(_digits(F.substr(value, F.lit(1), i + 1)))
+        return F.when(F.rlike(c, F.lit("^[0-9]$")), F.substr(digits, at, F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(F.split(value, ""), one), "")
+
+
 def _luhn(number: Column) -> Column:
     """Luhn sum modulo 10 of the digits in ``number``."""
     digits = F.reverse(F.split(F.regexp_replace(number, "[^0-9]", ""), ""))
@@ -151,19 +196,21 @@ def _made_name(seed: Column, attempt: Column, syllables: list[str], endings: lis
 def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
     """The replacement of a value of a kind at an attempt."""
     name = F.rlike(kind, F.lit("^(given|surname)_"))
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, F.when(name, F.lower(value)).otherwise(value),
+    same = identity(kind, value)
+    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, F.when(name, F.lower(same)).otherwise(same),
                               attempt.cast("string")), 256)
 
     def build(s: Column) -> Column:
         more = F.when(attempt < 3, "").otherwise(F.array_join(F.transform(
             F.sequence(F.lit(0), F.least(attempt, F.lit(12))), lambda i: _pick(s, i + 1000, LOWER)), ""))
         domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.lower(F.substring_index(value, "@", -1))), 256)
-        email = F.concat(_masked(F.substring_index(value, "@", 1), s), more, F.lit("@"),
+        email = F.concat(_masked(F.substring_index(value, "@", 1), s, hexes=False), more, F.lit("@"),
                          F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: _pick(domain, i, LOWER)),
                                       ""), F.lit(".example"))
         octet = lambda i, low, n: (F.pmod(F.xxhash64(s, F.lit(i)), F.lit(n)) + low).cast("string")
         ip = F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))
-        phone = _masked(value, s, F.length(F.regexp_extract(value, r"^\+\d{1,3}", 0)))
+        # a phone and a card are made from their digits and written in the format that was found
+        phone = _in_format(value, _digits(_masked(same, s, F.length(F.regexp_extract(same, _COUNTRY, 0)))))
         ssn = F.concat(F.lit("9"), F.substr(_masked(value, s), F.lit(2)))
 
         def card_of(m: Column) -> Column:
@@ -172,7 +219,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
             fit = ((F.lit(10) - _luhn(base)) % 10).cast("string")
             return F.when(_luhn(value) == 0, F.concat(F.substr(m, F.lit(1), F.length(m) - 1), fit)).otherwise(m)
 
-        card = let(_masked(value, s), card_of)
+        card = _in_format(value, let(_masked(same, s), card_of))
 
         def named() -> Column:
             out = None
@@ -196,8 +243,11 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
 
 
 def identity(kind: Column, value: Column) -> Column:
-    """What makes two values the same: names compare without case."""
-    return F.when(F.rlike(kind, F.lit("^(given|surname)_")), F.initcap(value)).otherwise(value)
+    """What makes two values the same: names and e-mail addresses compare without case, cards by their digits, phones
+    by their digits and a leading plus."""
+    return (F.when(F.rlike(kind, F.lit("^(given|surname)_")), F.initcap(F.translate(value, "’", "'")))
+            .when(kind == "email", F.lower(value)).when(kind == "card", _digits(value))
+            .when(kind == "phone", F.regexp_replace(value, "[^0-9+]", "")).otherwise(value))
 
 
 def exceptions(values: DataFrame, key: str = KEY) -> DataFrame:
@@ -232,14 +282,14 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY, found_into:
             n_chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the findings in ``text_col`` replaced; ``found_into``: a column for their number;
     ``n_chars_col``, if there, is counted again for rewritten rows."""
-    k, pieces, toks, subs = fresh(docs, "key_", "pieces_", "tokens_", "surrogates_")
+    k, pieces, pat, subs = fresh(docs, "key_", "pieces_", "pattern_", "surrogates_")
     text = F.col(f"`{text_col}`")
     has = F.coalesce(F.rlike(text, F.lit(FIND)), F.lit(False))
     count = found_into or fresh(docs, "found_")[0]
     clean = docs.where(~has).withColumn(count, F.lit(0).cast("long"))
-    hit = docs.where(has).withColumn(k, F.md5(F.encode(text, "UTF-8")))
+    hit = docs.where(has).withColumn(k, F.md5(F.encode(text, "UTF-8"))).withColumn(pat, pattern_of(text))
     # per distinct text: its findings, taken apart; the index of finding and token puts them back in order
-    found = hit.select(F.col(k).alias("k"), F.posexplode(F.regexp_extract_all(text, F.lit(FIND), F.lit(0)))
+    found = hit.select(F.col(k).alias("k"), F.posexplode(F.regexp_extract_all(text, F.col(pat), F.lit(0)))
                        .alias("i", "m"))
     found = found.dropDuplicates(["k", "i"]).select("k", "i", F.posexplode(tokens_of(F.col("m"))).alias("j", "t"))
     found = cut_lineage(found.select("k", "i", "j", "t.lead", "t.kind", "t.value"))
@@ -253,7 +303,7 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY, found_into:
                                                                       lambda x: x["s"]), "").alias("s"))
     per_text = per_finding.groupBy(F.col("k").alias(k)).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias(subs))
-    joined = hit.join(per_text, k).withColumn(pieces, F.split(text, FIND, -1))
+    joined = hit.join(per_text, k).withColumn(pieces, F.split(text, F.col(pat), -1))
     whole = F.array_join(F.zip_with(F.col(pieces), F.col(subs), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     redone = joined.withColumn(count, F.size(subs).cast("long")).withColumn(text_col, whole)
     if n_chars_col in docs.columns:

@@ -91,3 +91,38 @@ def test_awkward_rows(spark):
     assert got.columns == df.columns and got.count() == df.count()
     assert P.replace(df, found_into="found").where("found = 2").count() == 1
     assert P.replace(empty(spark)).count() == 0
+
+
+def test_name_shapes_are_found(spark):
+    names = ["McDonald", "O'Brien", "SMITH", "Dyke", "Cruz", "Castillo"]
+    got = run(spark, ["Mr. McDonald left", "Dr. O'Brien left", "John McDonald left", "Mr. JOHN SMITH left",
+                      "Mr. van Dyke left", "Dr. de la Cruz left", "Maria, JOHN SMITH and Carmen del Castillo left"])
+    for text, n in got.values():
+        assert n >= 1 and not any(x in text for x in names) and text.endswith(" left")
+    assert re.fullmatch(r"Mr\. [A-Z]+ [A-Z]+ left", got[3][0]) and got[5][0].startswith("Dr. de la ")
+    assert got[0][0].split()[1] == got[2][0].split()[1]  # one family
+
+
+def test_bare_surnames_follow_their_person(spark):
+    got = run(spark, ["Mr. Smith came. Smith left; SMITH's dog, Smithson and blacksmith stayed.", "Smith alone",
+                      "Mr. SMITH came, Smith left"])
+    m = re.fullmatch(r"Mr\. (\w+) came\. (\w+) left; (\w+)'s dog, Smithson and blacksmith stayed\.", got[0][0])
+    assert m[1] == m[2] != "Smith" and m[3] == m[1].upper() and got[0][1] == 3 and got[1] == ("Smith alone", 0)
+    assert got[2][0] == f"Mr. {m[3]} came, {m[1]} left"
+
+
+def test_one_value_in_several_formats_has_one_surrogate(spark):
+    got = run(spark, ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (974) 555-3436",
+                      "+1-974-555-3436", "+19745553436", "Anna.B7@Mail.example.com", "anna.b7@mail.example.com",
+                      "DeadBeef12@x.example.com", "deadbeef12@x.example.com"])
+    t = [got[i][0] for i in range(10)]
+    assert t[0] == t[1].replace(" ", "") == t[2].replace("-", "") != "4111111111111111" and luhn(t[0])
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", t[3]) and re.fullmatch(r"\+1-\d{3}-\d{3}-\d{4}", t[4])
+    assert {re.sub(r"\D", "", x) for x in t[3:5]} == {t[5][1:]} != {"19745553436"}
+    assert t[6].lower() == t[7] and t[6][0].isupper() and t[8].lower() == t[9]
+
+
+def test_letters_keep_their_script(spark):
+    got = run(spark, ["Иван.Петров@почта.рф", "Άννα@x.example.com"])
+    assert re.match(r"[А-Я][а-я]{3}\.[А-Я][а-я]{5}@", got[0][0])
+    assert re.match(r"[Α-Ω][α-ω]{3}@", got[1][0])
