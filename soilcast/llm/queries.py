@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from soilcast.llm import bm25, html_text, langid, mixing, packing, pii, quality, records, simhash, warc
+from soilcast.llm import (bm25, forced_bpe, html_text, langid, mixing, nra, packing, pii, quality, records, simhash,
+                          warc)
 from soilcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,37 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op11_forced_boundary_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forced_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op12_ranked_search", r"""
+WITH terms AS (
+  SELECT d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS d, text FROM documents)),
+ids AS (SELECT row_number() OVER () AS d, doc_id FROM documents),
+tf AS (SELECT d, term, count(*) AS tf FROM terms GROUP BY d, term),
+len AS (SELECT d, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY d),
+tot AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM len),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM tf CROSS JOIN tot GROUP BY term, nn),
+imp AS (SELECT d, tf.term, w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))) AS gain
+        FROM tf JOIN len USING (d) JOIN w ON w.term = tf.term CROSS JOIN tot),
+items AS (SELECT item_id, text, term, count(*) AS times FROM (
+  SELECT item_id, text, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, text, term),
+scores AS (SELECT item_id, text, d, CAST(sum(times * gain) AS BIGINT) AS score
+           FROM items JOIN imp USING (term) GROUP BY item_id, text, d HAVING sum(times * gain) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (
+        PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM scores JOIN ids USING (d))
+WHERE rank <= 10""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
