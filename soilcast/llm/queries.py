@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from soilcast.llm import (bm25, forced_bpe, html_text, langid, mixing, nra, packing, pii, quality, records, simhash,
-                          warc)
+                          spelling, warc)
 from soilcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ FROM (SELECT item_id, doc_id, score, row_number() OVER (
 WHERE rank <= 10""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
