@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from soilcast.session import cut_lineage, ensure_checkpoint_dir
 from soilcast.sources.readings import table
 
-__all__ = ["WORD", "SPACE", "SPACE_CHARS", "cut_lineage", "file_system", "fresh", "id_key", "let", "row_hash", "run_folder",
+__all__ = ["WORD", "SPACE", "SPACE_CHARS", "cut_lineage", "dealt_shards", "file_system", "fresh", "id_key", "let", "row_hash", "run_folder",
            "ship", "table", "text_or_empty", "words", "worker_state", "written"]
 
 # A word of every contract: a run of characters outside space and the ASCII controls 9-13.
@@ -92,6 +92,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_shards(manifest: DataFrame, key: str = "shard", most: int = 20_000) -> DataFrame:
+    """A manifest dealt out over as many tasks as it has rows (``most`` at most). The number is explicit: a few bytes a
+    row would otherwise be put back together into one task, which would then read every shard."""
+    return manifest.repartition(max(1, min(most, manifest.count())), F.col(key))
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a URI or a plain path, for use inside tasks."""
     from pyarrow import fs

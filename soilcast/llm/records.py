@@ -26,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from soilcast.llm import tokens
-from soilcast.llm.common import file_system, run_folder, ship
+from soilcast.llm import forced_bpe, tokens
+from soilcast.llm.common import dealt_shards, file_system, run_folder, ship
 
 ship(__name__)
 
@@ -149,30 +149,54 @@ class _Shard:
         self.temp = f"{base}/_temporary-{attempt}-{self.name}"
         self.fs.create_dir(base, recursive=True)
         self.out = self.fs.open_output_stream(f"{self.temp}.rec")
-        self.bytes = self.tokens = 0
+        self.docs = self.bytes = self.tokens = 0
         self.digest = 0
-        self.index: list[tuple] = []
-
-    def add(self, record: bytes, payload_bytes: int, doc_id, n: int):
-        self.index.append((self.bytes, payload_bytes, 0 if doc_id is None else doc_id, doc_id is not None,
-                           self.tokens))
-        self.out.write(record)
-        self.digest = zlib.crc32(record, self.digest)
-        self.bytes += len(record)
-        self.tokens += n
+        self.index: list[np.ndarray] = []
+
+    def add(self, records: list[bytes], payload_bytes: np.ndarray, doc_ids: list, n: np.ndarray):
+        """Appends whole records with one write."""
+        row = np.zeros(len(records), INDEX)
+        size = payload_bytes + 16
+        row["offset"] = self.bytes + np.cumsum(size) - size
+        row["bytes"] = payload_bytes
+        row["doc_id"] = [0 if d is None else d for d in doc_ids]
+        row["has_id"] = [d is not None for d in doc_ids]
+        row["start"] = self.tokens + np.cumsum(n) - n
+        self.index.append(row)
+        data = b"".join(records)
+        self.out.write(data)
+        self.digest = zlib.crc32(data, self.digest)
+        self.docs += len(records)
+        self.bytes += len(data)
+        self.tokens += int(n.sum())
 
     def close(self) -> None:
         self.out.close()
         with self.fs.open_output_stream(f"{self.temp}.idx") as f:
-            f.write(np.array(self.index, INDEX).tobytes())
+            f.write(np.concatenate(self.index).tobytes())
         for end in (".idx", ".rec"):
             self.fs.move(f"{self.temp}{end}", f"{self.final}{end}")
 
     def row(self, folder: str, width: int) -> list:
-        return [self.name, f"{folder}/{self.name}", self.part, self.roll, len(self.index), self.tokens, self.bytes,
+        return [self.name, f"{folder}/{self.name}", self.part, self.roll, self.docs, self.tokens, self.bytes,
                 width, f"{self.digest:08x}"]
 
 
+def _encoding(path: str, leading: bool | None):
+    """(function from texts to all ids and ids per text, size of the vocabulary): by forced boundaries for the byte-level
+    vocabulary, else through the library."""
+    if leading:
+        enc = forced_bpe.encoder(path)
+        return enc.encode, enc.v.size
+    enc = tokens.encoder(path, leading)
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = enc.encode(texts)
+        return np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
+
+    return encode, enc.tok.get_vocab_size()
+
+
 def write_records(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text",
                   vocabulary: str = tokens.BYTE_BPE, end_id: int = tokens.END_ID, shard_bytes: int = SHARD_BYTES,
                   path: str | None = None) -> DataFrame:
@@ -189,23 +213,34 @@ def write_records(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        enc = tokens.encoder(path or tokens.vocabulary_path(vocabulary), leading)
-        width = 2 if enc.tok.get_vocab_size() <= 1 << 16 else 4
+        encode, vocabulary_size = _encoding(path or tokens.vocabulary_path(vocabulary), leading)
+        width = 2 if vocabulary_size <= 1 << 16 else 4
         shard, roll, attempt, rows = None, 0, uuid.uuid4().hex, []
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                ids = [tokens.with_end(x, end_id) for x in enc.encode(part.column("text").to_pylist())]
-                payloads = [x.astype(f"<u{width}").tobytes() for x in ids]
-                for doc, x, payload, record in zip(part.column("doc_id").to_pylist(), ids, payloads,
-                                                   frame(payloads)):
-                    if shard and shard.bytes + len(record) > shard_bytes:
+                ids, n = encode(part.column("text").to_pylist())
+                n = n + 1
+                ends = np.cumsum(n)
+                last = np.zeros(int(ends[-1]), bool)
+                last[ends - 1] = True
+                flat = np.full(len(last), end_id, f"<u{width}")
+                flat[~last] = ids
+                raw, cuts, docs_ = flat.tobytes(), (ends * width).tolist(), part.column("doc_id").to_pylist()
+                records, size = frame([raw[s:e] for s, e in zip([0, *cuts], cuts)]), n * width
+                written, done = np.cumsum(size + 16), 0
+                while done < len(records):
+                    before = int(written[done - 1]) if done else 0
+                    if shard and shard.bytes + int(written[done]) - before > shard_bytes:
                         shard.close()
                         rows.append(shard.row(shards, width))
                         shard, roll = None, roll + 1
                     if not shard:
                         shard = _Shard(shards, part.column("part")[0].as_py(), roll, attempt)
-                    shard.add(record, len(payload), doc, len(x))
+                    # as many as the shard takes, one at least
+                    stop = max(done + 1, int(np.searchsorted(written, shard_bytes - shard.bytes + before, "right")))
+                    shard.add(records[done:stop], size[done:stop], docs_[done:stop], n[done:stop])
+                    done = stop
         if shard:
             shard.close()
             rows.append(shard.row(shards, width))
@@ -227,8 +262,7 @@ def read_records(spark: SparkSession, folder: str, keep_ids: bool = False) -> Da
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "roll").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
     shards = shards.select("shard", "path", "n_docs", "n_bytes", "width", "digest", before.alias("before"))
-    # a task per few shards: the manifest's rows are dealt out by shard name
-    shards = shards.repartition(F.col("shard"))
+    shards = dealt_shards(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from soilcast.llm.common import file_system, run_folder, ship, written
+from soilcast.llm.common import dealt_shards, file_system, run_folder, ship, written
 
 ship(__name__)
 
@@ -181,7 +181,7 @@ def members(stream) -> Iterator[bytes]:
 def read_archives(spark: SparkSession, folder: str, keep_payload: bool = False) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) of every record, from the
     archives named by the manifest; payload digests of responses are verified."""
-    shards = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").repartition(F.col("shard"))
+    shards = dealt_shards(spark.read.schema(MANIFEST).parquet(f"{folder}/manifest"))
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()),
              ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     kinds += [("payload", pa.binary())] if keep_payload else []
