@@ -21,6 +21,7 @@ from soilcast.session import scratch_path
 
 MAX_DEPTH = 12          # trees grow until pure or this deep; an argument of forest_train and analyze
 ROWS_PER_PARTITION = 20_000   # training rows per partition: part of the model, as bagging is seeded per partition
+MAX_PARTITIONS = 10_000       # beyond 200 million rows the partitions grow instead; also part of the model
 MAX_BINS = 64
 MAX_MEMORY_MB = 1024   # upper bound of the histogram memory per task and pass (more nodes split per pass)
 
@@ -61,7 +62,7 @@ def forest_train(training_rows: DataFrame, num_trees: int = S.FOREST_TREES, seed
     # model: they follow from the rows alone (count, keys), never from the machine.
     keys = ["sensor_id", *order_cols(training_rows)]
     rows = training_rows.select(*keys, "target", *FEATURE_NAMES).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = max(1, -(-rows.count() // rows_per_partition))
+    parts = min(MAX_PARTITIONS, max(1, -(-rows.count() // rows_per_partition)))
     data = VectorAssembler(inputCols=FEATURE_NAMES, outputCol="features").transform(
         rows.repartition(parts, *keys).sortWithinPartitions(*keys, "target")) \
         .select("features", F.col("target").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -75,9 +76,12 @@ def forest_train(training_rows: DataFrame, num_trees: int = S.FOREST_TREES, seed
         rows.unpersist()
 
 
-def forest_arrays(model) -> dict:
+NODE_SCHEMA = "treeID int, id int, prediction double, left int, right int, feature int, threshold double"
+
+
+def forest_arrays(model, keep_nodes: str | None = None) -> dict:
     """Flat node arrays of all trees. The model is saved under the shared checkpoint folder and its node table
-    read back with Spark; its size is bounded by the model parameters."""
+    read back with Spark; its size is bounded by the model parameters. ``keep_nodes``: a folder for that table."""
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
@@ -87,8 +91,18 @@ def forest_arrays(model) -> dict:
         "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("prediction"),
         F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.try_element_at(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(1)).alias("threshold")).toPandas()
+        F.try_element_at(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(1)).alias("threshold"))
+    if keep_nodes:
+        nodes.write.parquet(keep_nodes)
+        nodes = spark.read.schema(NODE_SCHEMA).parquet(keep_nodes)
+    arrays = arrays_of_nodes(nodes, int(model.getOrDefault("maxDepth")))
     _delete(spark, path)                       # the node table now lives in the driver; drop the saved copy
+    return arrays
+
+
+def arrays_of_nodes(node_table: DataFrame, depth: int) -> dict:
+    """Flat node arrays of a table of ``NODE_SCHEMA``; ``depth`` bounds the trees' depth."""
+    nodes = node_table.toPandas()
     nodes = nodes.sort_values(["treeID", "id"]).reset_index(drop=True)
     sizes = nodes.groupby("treeID").size().sort_index()
     offsets = np.concatenate([[0], np.cumsum(sizes.values)[:-1]])
@@ -102,7 +116,7 @@ def forest_arrays(model) -> dict:
         "threshold": np.where(leaf, 0.0, nodes["threshold"].fillna(0.0).values).astype(np.float64),
         "left": left.astype(np.int64), "right": right.astype(np.int64),
         "value": nodes["prediction"].values.astype(np.float64), "leaf": leaf,
-        "depth": int(model.getOrDefault("maxDepth")),   # leaves self-loop, so the bound is enough
+        "depth": depth,   # leaves self-loop, so the bound is enough
     }
 
 
@@ -124,6 +138,20 @@ def predict_arrays(arr: dict, x: np.ndarray) -> np.ndarray:
     return arr["value"][node].mean(axis=1)
 
 
+def forest_scores(rows: DataFrame, model_arrays: dict) -> DataFrame:
+    """``rows`` (with the 13 features) and their ``prediction`` by stored trees."""
+    _ship_by_value()
+    bc = rows.sparkSession.sparkContext.broadcast(model_arrays)
+
+    def run(batches):
+        for pdf in batches:
+            if not pdf.empty:
+                pdf["prediction"] = predict_arrays(bc.value, pdf[FEATURE_NAMES].values.astype(float))
+                yield pdf
+
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("prediction", T.DoubleType())]))
+
+
 def features_from_history(hist: np.ndarray, hour, dow, season, extra_days, env=S.ENV_DEFAULTS,
                           days_rise=S.DAYS_SINCE_RISE, feature_rise=S.FEATURE_RISE) -> np.ndarray:
     """The 13 model features of B histories (B x 24), as ``history_features`` builds them with windows."""

@@ -4,13 +4,14 @@ over on the driver."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from soilcast import schema as S
 from soilcast.functions import status as ST
 from soilcast.functions.timefn import add_hours
-from soilcast.operators import decay, forest, health, linear, staging
+from soilcast.operators import decay, forest, health, linear, model_store, staging
 from soilcast.operators.marts import choose_method
 from soilcast.operators.windows import drying_rate
 from soilcast.session import cut_lineage
@@ -31,26 +32,30 @@ def _series(readings: DataFrame) -> DataFrame:
 
 
 def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bool | None = None,
-            forest_params: dict | None = None, method: str | None = None, only: str | None = None) -> Analysis:
+            forest_params: dict | None = None, method: str | None = None, only: str | None = None,
+            model_key: str | None = None) -> Analysis:
     """Analyse every sensor of ``readings``: its whole series by default, or (``compat_limit``) the newest
     rows over all sensors together as the service's single query does. ``method`` forces one method for
     every sensor (operator-level use); by default n >= 50 selects the forest. ``forest_params``: arguments of
-    ``forest_train`` (trees, depth, bins). ``only``: score one sensor, with the model of all.
+    ``forest_train`` (trees, depth, bins). ``only``: score one sensor, with the model of all: only its rows are
+    read, besides one scan for the model's key, or none where ``model_key`` names the model. The forest comes from the
+    model store and is trained only if it is not there.
 
     The input is read once: the four series columns are written with a reliable checkpoint, and every aggregate,
     tail and window starts from that narrow copy. Invalid sensors drop out by a join with the one-row-per-sensor
     checks."""
     src = latest_readings(readings, compat_limit) if compat_limit else readings
-    every = cut_lineage(_series(src))
-    checks = cut_lineage(staging.validate_series(every))
+    spark = src.sparkSession
+    fleet = _series(src)
+    every = cut_lineage(fleet if only is None else fleet.where(F.col("sensor_id") == F.lit(only)))
+    checks = staging.validate_series(every)
+    if only is None:
+        checks = cut_lineage(checks)
+    else:
+        checks = spark.createDataFrame(checks.collect(), checks.schema)      # no or one row
     valid = checks.where(F.col("status") == "valid").select("sensor_id", F.col("n_readings").alias("samples_used"))
     rejects = checks.where(F.col("status") == "rejected")
-    trained_on = every.join(valid.select("sensor_id"), "sensor_id", "left_semi")
-    s = trained_on
-    if only is not None:
-        s = trained_on.where(F.col("sensor_id") == F.lit(only))
-        valid = valid.where(F.col("sensor_id") == F.lit(only))
-        rejects = rejects.where(F.col("sensor_id") == F.lit(only))
+    s = every.join(valid.select("sensor_id"), "sensor_id", "left_semi")
 
     meta = valid.withColumn("method", F.lit(method) if method else choose_method(F.col("samples_used")))
     cur = linear.current_reading(s).drop("n_readings")
@@ -59,31 +64,30 @@ def analyze(readings: DataFrame, compat_limit: int | None = None, use_forest: bo
     exp_ids = meta.where(F.col("method") == "exponential").select("sensor_id")
     ml_ids = meta.where(F.col("method") == "ml").select("sensor_id")
 
-    # exponential sensors: decay fit (always fitted with >= 10 points), crossing and curve
-    fit = decay.decay_fit(s.join(exp_ids, "sensor_id", "left_semi"))
-    cross = decay.decay_crossing(fit)
-    pred_exp = cross.select(
-        "sensor_id", "hours_from_now", "predicted_moisture", "urgency", "confidence", "predicted_time", "message",
-        F.lit("exponential").alias("method_effective"), F.col("confidence").alias("model_confidence"),
-        F.col("critical_time").alias("curve_critical_time"))
-    curves = decay.decay_curve(fit)
-
+    one = [r.method for r in meta.select("method").collect()] if only is not None else []     # no or one row
     if use_forest is None:
-        use_forest = bool(ml_ids.limit(1).count())       # one row per sensor, already written
+        use_forest = "ml" in one if only is not None else bool(ml_ids.limit(1).count())    # one row a sensor, written
+    parts, curve_parts = [], []
+    if not (use_forest and one == ["ml"]):
+        # exponential sensors: decay fit (always fitted with >= 10 points), crossing and curve
+        fit = decay.decay_fit(s.join(exp_ids, "sensor_id", "left_semi"))
+        cross = decay.decay_crossing(fit)
+        parts.append(cross.select(
+            "sensor_id", "hours_from_now", "predicted_moisture", "urgency", "confidence", "predicted_time", "message",
+            F.lit("exponential").alias("method_effective"), F.col("confidence").alias("model_confidence"),
+            F.col("critical_time").alias("curve_critical_time")))
+        curve_parts.append(decay.decay_curve(fit))
     if use_forest:
         ml_series = s.join(ml_ids, "sensor_id", "left_semi")
-        model = forest.forest_train(forest.forest_training_rows(trained_on), **(forest_params or {}))
-        arrays = forest.forest_arrays(model)
+        arrays = model_store.forest_of(every if only is None else fleet, forest_params, model_key)
         fcurve = forest.forest_curve(forest.forest_seeds(ml_series), arrays)
         ffc = forest.forest_forecast(fcurve)
-        pred_ml = ffc.select(
+        parts.append(ffc.select(
             "sensor_id", "hours_from_now", "predicted_moisture", "urgency", "confidence",
             "predicted_time", "message", F.lit("ml").alias("method_effective"),
-            F.lit(forest.ML_CONFIDENCE).alias("model_confidence"), F.col("critical_time").alias("curve_critical_time"))
-        preds = pred_exp.unionByName(pred_ml)
-        curves = curves.unionByName(fcurve)
-    else:
-        preds = pred_exp
+            F.lit(forest.ML_CONFIDENCE).alias("model_confidence"), F.col("critical_time").alias("curve_critical_time")))
+        curve_parts.append(fcurve)
+    preds, curves = (reduce(DataFrame.unionByName, x) for x in (parts, curve_parts))
 
     j = base.join(preds, "sensor_id", "left")
     imm = F.col("immediate")
@@ -149,17 +153,17 @@ def sensor_status(readings: DataFrame, **kw) -> DataFrame:
 # ---- submitted series ---------------------------------------------------------------------------------------
 
 def predict_submission(submissions: DataFrame, key: str = "submission_id", **kw) -> DataFrame:
-    """Prediction for submitted series (many at once): status from the current moisture, critical date = first
+    """Prediction for submitted series, as arrays or rows (many at once): status from the current moisture, critical date = first
     CRITICAL curve point, drying_rate_per_hour = hours/24 (compat), four health keys, empty curve."""
-    from soilcast.sources.submissions import submission_status, submitted_series
+    from soilcast.sources.submissions import series_rows, submission_rows, validate_submission
 
-    checked = cut_lineage(submissions.withColumn("status", submission_status()))
-    ok = checked.where(F.col("status") == "valid").drop("status")
-    rows = submitted_series(ok, key)
-    series = rows.select(F.col(key).alias("sensor_id"), "event_time", "soil_moisture", "event_id")
+    rows = cut_lineage(submission_rows(submissions, key))
+    checked = cut_lineage(validate_submission(rows, key).where(F.col("status") == "valid").select(key, "sensor_id"))
+    series = series_rows(rows, key).join(checked.select(key), key, "left_semi").select(
+        F.col(key).alias("sensor_id"), "event_time", "soil_moisture", "event_id")
     a = analyze(series, **kw)
     r = a.results.withColumn("critical_time", F.col("curve_critical_time"))
-    ids = ok.select(F.col(key).alias("_k"), F.coalesce(F.col("sensor_id"), F.lit(S.DEFAULT_SUBMISSION_ID)).alias("request_sensor_id"))
+    ids = checked.select(F.col(key).alias("_k"), F.col("sensor_id").alias("request_sensor_id"))
     r = r.join(ids, r["sensor_id"] == ids["_k"])
     return r.select(
         F.col("_k").alias(key), F.col("request_sensor_id").alias("sensor_id"), "current_moisture",

@@ -117,6 +117,55 @@ def q_predict_rejects(spark, sf):
     return a.rejects.select("sensor_id", "n_readings", "reason")
 
 
+# ---- submissions that fail each check -------------------------------------------------------------------------------
+
+FAULTY_SUBMISSIONS = """faulty AS (
+  SELECT submission_id, sensor_id, position, USER_NO % 6 AS u, n_sub,
+         NOT (USER_NO % 6 = 1 AND position = n_sub - 1) AS has_time,
+         CASE WHEN USER_NO % 6 IN (2, 3) AND position = 3 THEN soil_moisture + 1.0
+              WHEN USER_NO % 6 = 5 AND position = 4 THEN NULL ELSE soil_moisture END AS m,
+         USER_NO % 6 IN (3, 4) AND position = 2 AS bad_time
+  FROM (SELECT *, CAST(right(sensor_id, 5) AS INTEGER) AS USER_NO,
+               row_number() OVER (PARTITION BY submission_id ORDER BY event_time, event_id) - 1 AS position FROM sub))"""
+
+
+def faulty_submissions(spark, sf):
+    """Weekly submissions: by user number modulo 6 whole, short of a timestamp, out of range, both out of range and
+    with a bad timestamp, with a bad timestamp, with a null reading."""
+    from soilcast.sources.submissions import submissions_from_readings
+
+    s = submissions_from_readings(readings(spark, sf))
+    n = s.groupBy("submission_id").agg(F.count(F.lit(1)).alias("n_sub"))
+    s = s.join(n, "submission_id")
+    u = F.regexp_extract("submission_id", r"(\d+)/", 1).cast("int") % 6
+    last, pos, m = F.col("position") == F.col("n_sub") - 1, F.col("position"), F.col("soil_moisture")
+    gone = (u == 1) & last
+    return s.withColumn("has_time", ~gone).withColumn("ts_text", F.when(gone, F.lit(None).cast("string")).when(
+        u.isin(3, 4) & (pos == 2), F.lit("30/09/2025 10:00")).otherwise(F.col("ts_text"))).withColumn(
+        "soil_moisture", F.when(u.isin(2, 3) & (pos == 3), m + 1.0).when((u == 5) & (pos == 4), F.lit(None).cast("double"))
+        .otherwise(m)).drop("n_sub")
+
+
+def _faulty_submission_sql() -> str:
+    from soilcast.plans.q_results import SUB_BASE
+
+    return "WITH " + ",\n".join([*SUB_BASE, FAULTY_SUBMISSIONS]) + """
+SELECT submission_id, n_readings, CASE WHEN reason IS NULL THEN 'valid' ELSE 'rejected' END AS status, reason FROM (
+  SELECT submission_id, CAST(count(*) AS INTEGER) AS n_readings,
+         CASE WHEN count(*) <> count_if(has_time) THEN 'Number of moisture readings must match number of timestamps'
+              WHEN count(*) < 10 THEN 'At least 10 data points required for accurate prediction'
+              WHEN count_if(m IS NULL OR m < 0.0 OR m > 1.0) > 0 THEN 'Moisture readings must be between 0.0 and 1.0'
+              WHEN count_if(bad_time) > 0 THEN 'Invalid timestamp format. Use ISO format (e.g., ''2025-09-30T10:00:00'')' END AS reason
+  FROM faulty GROUP BY submission_id)"""
+
+
+@query("validate_faulty_submission", _faulty_submission_sql())
+def q_validate_faulty_submission(spark, sf):
+    from soilcast.sources.submissions import validate_submission
+
+    return validate_submission(faulty_submissions(spark, sf)).select("submission_id", "n_readings", "status", "reason")
+
+
 # ---- degenerate series: all times equal, all values equal, ten rows -------------------------------------------------
 
 DEGENERATE = f"""readings AS (

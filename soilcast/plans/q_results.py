@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from soilcast.operators import decay, forest, health, report, staging
+from soilcast.operators import decay, forest, health, model_store, report, staging
 from soilcast.plans import predict as P
 from soilcast.plans.catalog import READINGS_CTE, query, r9, readings, with_readings
 from soilcast.plans.q_forecast import CROSS_CTE, CURVE_CTE, DECAY_CTES
@@ -106,14 +106,20 @@ def q_health_metrics(spark, sf):
                     F.col("watering_frequency_analysis.recommendation").alias("frequency_recommendation"))
 
 
-@query("recommendations", analysis_sql(
-    "SELECT sensor_id, urgency, round(health_score, 6) AS health_score, recommendations_text FROM res3"))
+def _recommendations(results):
+    return results.select("sensor_id", "urgency", r9("health_score", P6).alias("health_score"),
+                          rec_text(F.col("recommendations")).alias("recommendations_text"))
+
+
+@query("recommendations")
 def q_recommendations(spark, sf):
-    # operator-level: every sensor takes the exponential path here
-    r = P.analyze(readings(spark, sf), use_forest=False, method="exponential").results
-    return r.select(
-        "sensor_id", "urgency", r9("health_score", P6).alias("health_score"),
-        rec_text(F.col("recommendations")).alias("recommendations_text"))
+    return _recommendations(P.analyze(readings(spark, sf)).results)
+
+
+@query("recommendations_exponential", analysis_sql(
+    "SELECT sensor_id, urgency, round(health_score, 6) AS health_score, recommendations_text FROM res3"))
+def q_recommendations_exponential(spark, sf):
+    return _recommendations(P.analyze(readings(spark, sf), use_forest=False, method="exponential").results)
 
 
 # ---- predictions ---------------------------------------------------------------------------------------------
@@ -154,23 +160,38 @@ def _all_exponential(spark, sf):
     return P.predict_batch(readings(spark, sf), use_forest=False, method="exponential")
 
 
-@query("sensor_summary", SUMMARY_SQL)
+@query("sensor_summary")
 def q_sensor_summary(spark, sf):
+    r = readings(spark, sf)
+    return report.sensor_summary(r, P.predict_batch(r))
+
+
+@query("sensor_summary_exponential", SUMMARY_SQL)
+def q_sensor_summary_exponential(spark, sf):
     return report.sensor_summary(readings(spark, sf), _all_exponential(spark, sf))
 
 
-@query("watering_date_label", analysis_sql("""
+def _date_labels(results):
+    return results.select(
+        "sensor_id", "status", "predicted_watering_date", "critical_watering_date",
+        report.watering_date_label("status", "critical_watering_date", "predicted_watering_date")
+        .alias("watering_date_text"))
+
+
+@query("watering_date_label")
+def q_watering_date_label(spark, sf):
+    return _date_labels(P.analyze(readings(spark, sf)).forecasts)
+
+
+@query("watering_date_label_exponential", analysis_sql("""
 SELECT sensor_id, status, predicted_watering_date, critical_watering_date,
        CASE WHEN status LIKE '%CRITICAL%' THEN 'TODAY (Critical)'
             WHEN critical_watering_date IS NOT NULL THEN strftime(critical_watering_date, '%Y-%m-%d')
             WHEN predicted_watering_date IS NOT NULL THEN strftime(predicted_watering_date, '%Y-%m-%d')
             ELSE 'Not needed' END AS watering_date_text
 FROM res3"""))
-def q_watering_date_label(spark, sf):
-    return _all_exponential(spark, sf).select(
-        "sensor_id", "status", "predicted_watering_date", "critical_watering_date",
-        report.watering_date_label("status", "critical_watering_date", "predicted_watering_date")
-        .alias("watering_date_text"))
+def q_watering_date_label_exponential(spark, sf):
+    return _date_labels(_all_exponential(spark, sf))
 
 
 # ---- submissions ---------------------------------------------------------------------------------------------
@@ -341,29 +362,33 @@ def _ml_series(spark, sf):
 
 @query("forest_train")
 def q_forest_train(spark, sf):
-    from pyspark.ml.feature import VectorAssembler
-    rows = forest.forest_training_rows(readings(spark, sf))
-    model = forest.forest_train(rows)
-    pred = model.transform(VectorAssembler(inputCols=forest.FEATURE_NAMES, outputCol="features").transform(rows))
-    return pred.select("sensor_id", "event_time", "target", "prediction")
+    r = readings(spark, sf)
+    rows = forest.forest_training_rows(r)
+    return forest.forest_scores(rows, model_store.forest_of(r)).select("sensor_id", "event_time", "target", "prediction")
 
 
 @query("forest_curve")
 def q_forest_curve(spark, sf):
     s = _ml_series(spark, sf)
-    arrays = forest.forest_arrays(forest.forest_train(forest.forest_training_rows(s)))
-    return forest.forest_curve(forest.forest_seeds(s), arrays)
+    return forest.forest_curve(forest.forest_seeds(s), model_store.forest_of(readings(spark, sf)))
 
 
 @query("forest_forecast")
 def q_forest_forecast(spark, sf):
     s = _ml_series(spark, sf)
-    arrays = forest.forest_arrays(forest.forest_train(forest.forest_training_rows(s)))
-    return forest.forest_forecast(forest.forest_curve(forest.forest_seeds(s), arrays))
+    return forest.forest_forecast(forest.forest_curve(forest.forest_seeds(s), model_store.forest_of(readings(spark, sf))))
 
 
-@query("urgency_status", analysis_sql("SELECT sensor_id, urgency, status FROM res3"))
-def q_urgency_status(spark, sf):
+def _urgency_status(forecasts):
     from soilcast.functions.status import urgency_status
-    r = P.analyze(readings(spark, sf), use_forest=False, method="exponential").forecasts
-    return r.select("sensor_id", "urgency", urgency_status(F.col("urgency")).alias("status"))
+    return forecasts.select("sensor_id", "urgency", urgency_status(F.col("urgency")).alias("status"))
+
+
+@query("urgency_status")
+def q_urgency_status(spark, sf):
+    return _urgency_status(P.analyze(readings(spark, sf)).forecasts)
+
+
+@query("urgency_status_exponential", analysis_sql("SELECT sensor_id, urgency, status FROM res3"))
+def q_urgency_status_exponential(spark, sf):
+    return _urgency_status(P.analyze(readings(spark, sf), use_forest=False, method="exponential").forecasts)

@@ -75,9 +75,31 @@ def test_a_long_week_is_one_submission(spark):
         F.col("id").alias("event_id"), F.lit("SENSOR-1").alias("sensor_id"),
         F.timestamp_add("SECOND", (F.col("id") * 40).cast("int"), F.lit("2025-09-01 00:00:00").cast("timestamp_ntz"))
         .alias("event_time"), F.lit(0.5).alias("soil_moisture"))
-    subs = submissions_from_readings(df).collect()
-    assert [len(s.moisture_readings) for s in subs] == [12_000]
-    assert list(subs[0].timestamps) == sorted(subs[0].timestamps)
+    rows = submissions_from_readings(df)
+    assert rows.select("submission_id").distinct().count() == 1
+    got = rows.orderBy("position").collect()
+    assert [r.position for r in got] == list(range(12_000))
+    assert [r.ts_text for r in got] == sorted(r.ts_text for r in got)
+    assert [tuple(r) for r in validate_submission(rows).collect()] == [("SENSOR-1/2025-09-01", "SENSOR-1", 12_000, "valid", None)]
+
+
+def test_checks_of_a_submission_are_mergeable_counts(spark):
+    """No array is collected: one aggregate with partial (map-side) counts and one exchange of one row a task."""
+    from soilcast.sources.submissions import submissions_from_readings
+    df = spark.range(100).select(F.col("id").alias("event_id"), F.lit("S").alias("sensor_id"),
+                                 F.current_timestamp().cast("timestamp_ntz").alias("event_time"), F.lit(0.5).alias("soil_moisture"))
+    rows = submissions_from_readings(df)
+    plan = validate_submission(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "count_if" in plan.lower() or "count(" in plan
+
+
+def test_unequal_and_empty_arrays_as_rows(spark):
+    from soilcast.sources.submissions import submission_rows
+    df = spark.createDataFrame([("a", "s", [0.1, 0.2, 0.3], ["2025-09-30"]), ("b", None, [], [])],
+                               "submission_id string, sensor_id string, moisture_readings array<double>, timestamps array<string>")
+    got = sorted(map(tuple, submission_rows(df).collect()), key=repr)
+    assert got == sorted([("a", "s", 0, True, 0.1, True, "2025-09-30"), ("a", "s", 1, True, 0.2, False, None),
+                          ("a", "s", 2, True, 0.3, False, None), ("b", None, None, False, None, False, None)], key=repr)
 
 
 def test_null_arrays_are_rejected(spark):

@@ -7,7 +7,7 @@ from conftest import SF001
 from oracle_harness import compare, duck
 
 FAST = ["hourly_rollup", "sensor_analytics", "history_features", "last_watering", "recent_stats", "drying_rate",
-        "validate_series", "decay_fit", "decay_crossing", "health_metrics", "predict_submission", "sensor_summary",
+        "validate_series", "decay_fit", "decay_crossing", "health_metrics", "predict_submission", "sensor_summary_exponential",
         "ingest_messages", "known_sensor_check"]
 
 
