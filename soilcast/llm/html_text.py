@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a light tree; elements that never hold article text (menus, headers, footers, sidebars, notices,
-adverts, comments, forms, scripts, styles) are left out by tag, role, class and id. Every paragraph passes points to
+A page becomes a light tree. Controls, hidden parts, scripts, styles and reader comments never count. Elements whose tag,
+role, class or id says menu, header, footer, sidebar, notice, advert or form are only doubted: one that holds a marked
+article (``article``, ``main`` or that role) with half of the page's unlinked text, or, doubted for its name or as a form,
+most of that text, stays; a page of which nothing is left is read again with fewer doubts. Every paragraph passes points to
 its parent (all of them), grandparent (half) and further ancestors (less): one, one per comma, one per 100 characters
 up to three. A container's points are discounted by the share of its text inside links. The best container is kept
 with those siblings that score near it or are paragraphs of running text. The kept containers' blocks are written in
@@ -36,14 +38,19 @@ BLOCKS = {"p", "div", "article", "section", "main", "body", "html", "h1", "h2",
           "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote",
           "pre", "figure", "figcaption", "header", "footer", "nav", "aside", "form", "fieldset", "address", "hr",
           "details", "summary", "center", "main"}
-# Elements without article text by their tag; a header inside the article's own container is kept apart below.
-SKIP_TAGS = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "input", "label", "option"}
+# Elements without article text by their tag, unless the article stands in them; a header inside an article is its own.
+SKIP_TAGS = {"nav", "footer", "aside", "dialog", "menu"}
+CONTROLS = {"head", "button", "select", "input", "option"}      # never text
 SKIP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
+MAIN_ROLES = {"main", "article"}
 _SKIP_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"sidebar|side-bar|widget|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|"
-    r"subscri\w+|share|sharing|social|related|recommend\w*|comments?|disqus|respond|replies|pagination|pager|toolbar|"
-    r"login|signup|search)(?=$|[\s_-])", re.I)
+    r"sidebar|side-bar|widget|footer|header|masthead|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|"
+    r"subscri\w+|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|login|signup|search)(?=$|[\s_-])", re.I)
+_COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|comment(?!ar)\w+|disqus\w*|respond|replies|reply)(?=$|[\s_-])", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+HOLDS = 0.5      # a removed element that holds a marked article with so much of the page's unlinked text stays
+MOST = 0.8       # so does one, removed for its name or as a form, that holds so much of it
 KEEP_NAMES = {"article", "post", "entry", "content", "main", "story", "text", "body", "main-content", "post-content",
               "entry-content", "article-body", "post-body", "hentry"}
 _LAYOUT = re.compile(r"\b(?:has|with|no|without)-\S+", re.I)  # names that say what stands beside an element
@@ -56,10 +63,10 @@ GOOD, BAD = {"article": 30.0, "main": 25.0, "section": 5.0, "div": 5.0, "td": 3.
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "points", "chars", "linked", "skip", "attrs")
+    __slots__ = ("tag", "parent", "kids", "points", "chars", "linked", "skip", "attrs", "doubt")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: str = "", skip: bool = False):
-        self.tag, self.parent, self.attrs, self.skip = tag, parent, attrs, skip
+    def __init__(self, tag: str, parent: Node | None, attrs: str = "", doubt: str = ""):
+        self.tag, self.parent, self.attrs, self.doubt, self.skip = tag, parent, attrs, doubt, False
         self.kids: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
 
@@ -79,17 +86,60 @@ def _names(attrs: str) -> tuple[str, str, bool]:
     return " ".join(names), role, hidden
 
 
-def _unwanted(tag: str, attrs: str, parent: Node) -> bool:
-    if tag in SKIP_TAGS:
-        return True
-    if tag == "header" and not any(a.tag in ("article", "main") for a in _above(parent)):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    names, role, hidden = _names(attrs)
-    names = _LAYOUT.sub("", names)
-    return hidden or role in SKIP_ROLES or bool(
-        names and _SKIP_NAME.search(names) and not KEEP_NAMES & set(names.lower().split()))
+def _doubt(tag: str, attrs: str, parent: Node) -> str:
+    """Why an element may hold no article text: "never" (controls, hidden parts), "comment", "tag", "name", or ""."""
+    if tag in CONTROLS:
+        return "never"
+    names, role, hidden = _names(attrs) if attrs else ("", "", False)
+    if hidden:
+        return "never"
+    names = _LAYOUT.sub("", _CAMEL.sub("-", names))
+    if names and tag not in ("html", "body", "main") and _COMMENT_NAME.search(names) and not (
+            KEEP_NAMES & set(names.lower().split())):
+        return "comment"
+    if tag in SKIP_TAGS or tag == "header" and not any(a.tag in ("article", "main") for a in _above(parent)):
+        return "tag"
+    if tag == "form" or tag == "label" and any(a.tag == "form" for a in _above(parent)) \
+            and not any(a.tag == "p" for a in _above(parent)):
+        return "name"
+    if tag in ("html", "body", "article", "main") or role in MAIN_ROLES:
+        return ""
+    return "name" if role in SKIP_ROLES or names and _SKIP_NAME.search(names) and not (
+        KEEP_NAMES & set(names.lower().split())) else ""
+
+
+def decide(root: Node, trust: int = 0) -> None:
+    """Sets ``skip`` of every element. Nothing is removed for its tag or name alone: an element that holds a marked article
+    with half of the page's unlinked text stays, and so does one doubted for its name that holds most of that text.
+    ``trust`` 1 keeps everything doubted for its name, 2 also for its tag."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [k for k in node.kids if isinstance(k, Node)]
+    prose: dict[int, int] = {}
+    holds: dict[int, int] = {}       # unlinked text of the largest marked article in it
+    for node in reversed(order):
+        n, most = sum(len(k.strip()) for k in node.kids if isinstance(k, str)), 0
+        for k in node.kids:
+            if isinstance(k, Node):
+                n, most = n + prose[id(k)], max(most, holds[id(k)])
+        if node.doubt in ("never", "comment") or node.tag == "a":
+            n = most = 0
+        elif node.tag in ("article", "main") or node.attrs and _names(node.attrs)[1] in MAIN_ROLES:
+            most = n
+        prose[id(node)], holds[id(node)] = n, most
+    total = max(1, prose[id(root)])
+    for node in order:                   # parents come before their children
+        if node.doubt in ("never", "comment"):
+            own = True
+        elif node.doubt == "tag":
+            own = trust < 2 and holds[id(node)] < HOLDS * total
+        elif node.doubt == "name":
+            own = trust < 1 and holds[id(node)] < HOLDS * total and prose[id(node)] < MOST * total
+        else:
+            own = False
+        node.skip = own or node.parent is not None and node.parent.skip
 
 
 def _above(node: Node | None) -> Iterator[Node]:
@@ -99,7 +149,7 @@ def _above(node: Node | None) -> Iterator[Node]:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page: text, block and inline elements, without unwanted elements' text."""
+    """The tree of a page: text, block and inline elements, with the doubts about each."""
     root = here = Node("html", None)
     at, n = 0, len(page)
     while at < n:
@@ -137,7 +187,7 @@ def parse(page: str) -> Node:
             here = _close_open(here, tag)
         if m[3].endswith("/") and tag not in BLOCKS:
             continue
-        child = Node(tag, here, m[3], here.skip or _unwanted(tag, m[3], here))
+        child = Node(tag, here, m[3], _doubt(tag, m[3], here))
         here.kids.append(child)
         here = child
     return root
@@ -155,7 +205,7 @@ def _close_open(here: Node, tag: str) -> Node:
 
 
 def _text(here: Node, raw: str) -> None:
-    if raw and not here.skip:
+    if raw and here.doubt != "never":
         here.kids.append(html.unescape(raw) if "&" in raw else raw)
 
 
@@ -207,6 +257,9 @@ def _inline(node: Node) -> Iterator[str]:
             stack += reversed(k.kids)
 
 
+_SENTENCE = re.compile(r"^(?!©|\(c\)|copyright\b).*[.!?…。！？]['\"”»)]*$", re.I | re.S)
+
+
 def density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
@@ -224,6 +277,7 @@ def kept(root: Node) -> list[Node]:
     best = around.get("article") or around.get("main") or best
     if best.parent is None:
         return [best]
+    marked = best.tag in ("article", "main")
     least = max(10.0, best.points * 0.2)
     names = _names(best.attrs)[0]
     out = []
@@ -234,7 +288,9 @@ def kept(root: Node) -> list[Node]:
         if k is best or k.points + bonus >= least and k.points > 0:
             out.append(k)
         elif k.tag == "p" and k.chars:
-            if k.chars > 80 and density(k) < 0.25 or density(k) == 0:
+            # a short paragraph must be a sentence, and stands beside no marked article
+            if k.chars > 80 and density(k) < 0.25 or density(k) == 0 and not marked and _SENTENCE.search(
+                    "".join(_inline(k)).strip()):
                 out.append(k)
         elif k.tag in ("h1", "h2", "h3") and k.chars and density(k) < 0.25:
             out.append(k)
@@ -270,7 +326,15 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 
 def main_text(page: str) -> str:
-    return "\n\n".join(blocks(kept(parse(page)))) if page else ""
+    if not page:
+        return ""
+    for trust in (0, 1, 2):      # a page of which nothing is left is read again with fewer doubts
+        root = parse(page)
+        decide(root, trust)
+        text = "\n\n".join(blocks(kept(root)))
+        if text:
+            break
+    return text
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

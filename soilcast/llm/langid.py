@@ -8,7 +8,7 @@ languages' corrected hits.
 
 Training: ``sample_docs`` documents per language (the documented bound, chosen by seeded hash) from the rows whose
 crc32(doc_id) modulo 4 is not 2; document counts per (language, n-gram) are combined map-side. A language's filter
-takes its ``grams`` most frequent n-grams among those that occur in at least ``least_docs`` of its documents and whose
+takes its ``grams`` most frequent n-grams among those that occur in at least ``least_docs`` of its documents (in all of them, if it has fewer) and whose
 document rate is at least ``least_share`` of the highest rate among languages, so that foreign passages do not enter.
 The model is bounded by slots x ceil(languages / 64) words, 8 MB up to 64 languages; languages are checked against
 ``MAX_LANGUAGES``. Prediction is a narrow pass over whole texts, in slices of bounded memory.
@@ -207,11 +207,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                                                  names=["lang", "h"])
 
     per = sample.select("lang", "text").mapInArrow(count, "lang string, h bigint").groupBy("lang", "h").agg(
-        F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
+        F.count("*").alias("docs"))
     n_of = F.create_map(*[x for k, v in sizes_of.items() for x in (F.lit(k), F.lit(float(v)))]) if sizes_of else None
     masks = np.zeros((slots, max(1, -(-len(languages) // 64))), np.uint64)
     fill = np.zeros(len(languages), np.int64)
     if languages:
+        per = per.where(F.col("docs") >= F.least(F.lit(float(least_docs)), n_of[F.col("lang")]))
         per = per.withColumn("rate", F.col("docs") / n_of[F.col("lang")])
         per = per.withColumn("top", F.max("rate").over(Window.partitionBy("h"))).where(
             F.col("rate") >= F.col("top") * least_share)

@@ -45,6 +45,38 @@ def test_tree_scoring_cases(page, text):
     assert H.main_text(page) == text
 
 
+ART = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+TEXT = f"Title\n\n{LONG.strip()}\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<form id=aspnetForm>", "<input value=x><button>Go</button></form>"),
+    ("<div id='content-sidebar-wrap'>", "</div>"), ("<div class='page-header-wrap'>", "</div>"),
+    ("<div id='page-search-main'>", "</div>"), ("<div role=main class='page-menu-open'>", "</div>"),
+    ("<div class=related-work><div class=notice-period>", "</div></div>"),
+    ("<div id='content-sidebar-wrap'><article>", "</article><div class=sidebar><p>Short.</p></div></div>"),
+    ("<nav><a href=x>menu</a></nav><article>", f"<div class=commentlist><p>{LONG}</p></div></article>"),
+    ("<article>", f"<div><article class=comment><p>{LONG}</p></article></div></article>"),
+    ("<article>", f"</article><article class='comment odd'><p>{LONG}{LONG}{LONG}</p></article>"),
+    ("<article>", f"<section id=readerComments><p>{LONG}{LONG}</p></section></article>"),
+    ("<article>", "</article><p>Copyright 2024 Somebody</p>"), ("<article>", "</article><p>Short words beside</p>"),
+    ("<article>", f"</article><aside><p>{LONG}{LONG}</p></aside><div class=cookiebar><p>We use cookies.</p></div>"),
+    ("<div class=cookieBanner><p>We use cookies.</p></div><main>", "</main><footer><p>All rights.</p></footer>"),
+    ("<form action=/search><label>Find</label><input></form><div>", "</div>")])
+def test_wrappers_and_comments(before, after):
+    """No article is lost to the name or tag around it; reader comments, notices and forms go."""
+    page = f"<html><body>{before}{ART}{after}</body></html>"
+    assert H.main_text(page) == TEXT
+
+
+def test_a_label_in_a_paragraph_and_pages_of_doubted_parts_only():
+    assert H.main_text(f"<article><p>a <label>b</label> c, {LONG}</p></article>") == f"a b c, {LONG.strip()}"
+    two = f"<div class=widget><p>{LONG}</p></div><div class=promo><p>{LONG}</p></div>"
+    assert H.main_text(two) == f"{LONG.strip()}\n\n{LONG.strip()}"
+    assert H.main_text("<aside><p>only this</p></aside>") == "only this"
+    assert H.main_text("<div id=comments><p>no</p></div>") == ""
+
+
 def test_html_awkward_rows(spark):
     df = spark.createDataFrame([(1, None, None, "t", "d", "p"), (None, "u", "<p>x", None, None, None),
                                 (1, None, None, "t", "d", "p")], PAGES)
@@ -53,6 +85,20 @@ def test_html_awkward_rows(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+def test_languages_of_one_and_two_documents(spark):
+    """A language with fewer training documents than the floor keeps its n-grams."""
+    import zlib
+
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    pl = "zażółć gęślą jaźń, chrząszcz brzmi w trzcinie w szczebrzeszynie i źdźbło"
+    cy = "mae hen wlad fy nhadau yn annwyl i mi, gwlad beirdd a chantorion"
+    en = "the quick brown fox jumps over the lazy dog and then it sleeps for a while"
+    rows = [(ids[0], pl, "pl"), (ids[1], pl + " szczęście", "pl"), (ids[2], cy, "cy")]
+    rows += [(i, f"{en} number {i}", "en") for i in ids[3:40]] + [(1000, "źdźbło w trzcinie brzmi", None)]
+    got = {r.doc_id: r.lang_pred for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[ids[0]], got[ids[1]], got[ids[2]], got[ids[5]], got[1000]) == ("pl", "pl", "cy", "en", "pl")
+
+
 def test_language_held_out_accuracy(spark):
     df = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     got = L.identify(df).join(df.select("doc_id", "lang"), "doc_id").collect()
