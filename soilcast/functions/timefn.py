@@ -56,16 +56,21 @@ def parse_iso(text: Column) -> Column:
     microseconds), basic or extended form, 'T' or a space between. A 'Z' or +hh[[:]mm] suffix is applied as an offset;
     text without one is UTC wall time. Anything else gives null. No step goes through the session time zone."""
     t = F.trim(text)
+    # matched once per text: the pattern's groups as an array, bound to `g` by a transform over one element
+    groups = F.when(F.rlike(t, F.lit(ISO)), F.split(F.regexp_replace(t, ISO, ",".join(f"${i}" for i in range(1, 9))), ","))
+    return F.get(F.transform(F.array(groups), _iso_time), F.lit(0))
 
+
+def _iso_time(g: Column) -> Column:
     def part(i: int, default: str = "0") -> Column:
-        g = F.regexp_extract(t, ISO, i)
-        return F.when(g == "", F.lit(default)).otherwise(g)
+        x = F.get(g, F.lit(i - 1))
+        return F.when(x == "", F.lit(default)).otherwise(x)
 
     second = F.concat(part(6), F.lit("."), F.rpad(F.substring(part(7), 1, 6), 6, "0")).cast("decimal(8,6)")
     wall = F.try_make_timestamp_ntz(*[part(i).cast("int") for i in (1, 2, 3, 4, 5)], second)
-    zone = F.regexp_extract(t, ISO, 8)
+    zone = F.get(g, F.lit(7))
     digits = F.rpad(F.regexp_replace(zone, "[^0-9]", ""), 4, "0")
     sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     minutes = F.when(zone.isin("", "Z", "z"), F.lit(0)).otherwise(
         sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")))
-    return F.when(F.rlike(t, F.lit(ISO)), wall - F.make_dt_interval(mins=minutes))
+    return wall - F.make_dt_interval(mins=minutes)

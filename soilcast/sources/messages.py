@@ -13,7 +13,6 @@ REJECT_REASONS = {
     "time": "missing or invalid timestamp",
     "measure": "a measure is not a number",
 }
-FIELDS = ["sensor_id", "timestamp", "temperature_c", "temperature", "humidity_pct", "humidity", "soil_moisture"]
 
 
 def _num(v: Column) -> Column:
@@ -44,25 +43,41 @@ def decode_body(body: Column) -> Column:
     return F.when(F.is_valid_utf8(raw), raw)
 
 
+def _objects(text: Column) -> Column:
+    """All objects of a text, each as a map of its keys and their values' texts, in one parse. As elements of an array: text
+    before or after an object does not parse. A repeated key stays in the map as often as it comes."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>",
+                       {"allowNonNumericNumbers": "false"})
+
+
+def _only(objects: Column) -> Column:
+    return F.when(F.size(objects) == 1, F.get(objects, F.lit(0)))
+
+
 def fields(body: Column) -> Column:
-    """The JSON object of a body as (v: the known fields' texts, keys: all its keys); null unless the body is exactly
-    one object. Of a repeated key the last value counts."""
-    text = decode_body(body)
-    # as the only element of an array: text before or after the object, or a second object, does not parse as one
-    one = F.from_json(F.concat(F.lit("["), text, F.lit("]")),
-                      "array<struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">>")
-    keys = F.json_object_keys(text)
-    return F.when((F.size(one) == 1) & one[0].isNotNull() & keys.isNotNull(),
-                  F.struct(one[0].alias("v"), keys.alias("keys")))
+    """The JSON object of a body as a map of texts; null unless the body is exactly one object."""
+    return _only(_objects(decode_body(body)))
 
 
 def has_key(m: Column, key: str) -> Column:
-    return F.array_contains(m["keys"], key)
+    return F.map_contains_key(m, key)
+
+
+def value(m: Column, key: str) -> Column:
+    """Text under a key, null without it. Of a repeated key the last value counts."""
+    from_end = F.array_position(F.reverse(F.map_keys(m)), key).cast("int")
+    return F.element_at(F.map_values(m), -F.nullif(from_end, F.lit(0)))
 
 
 def key_fallback(m: Column, first: str, second: str) -> Column:
     """Value under the first key when the key is present (even if null), else under the second."""
-    return F.when(has_key(m, first), m["v"][first]).otherwise(m["v"][second])
+    return F.when(has_key(m, first), value(m, first)).otherwise(value(m, second))
+
+
+def _once(df: DataFrame, keep: list[str], **new: Column) -> DataFrame:
+    """``keep`` and new columns, out of a one-row generator: later filters and projections are not merged into it, which
+    would evaluate the columns again for each use."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))))
 
 
 def _not_number(text: Column) -> Column:
@@ -71,16 +86,17 @@ def _not_number(text: Column) -> Column:
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """Decode and parse every message; keeps the decoded text as ``payload`` and a ``reject_reason``."""
-    x = messages.select("*", decode_body(F.col("body")).alias("payload"), fields(F.col("body")).alias("_m"))
+    """Decode and parse every message once; keeps the decoded text as ``payload`` and a ``reject_reason``."""
+    rest = [c for c in messages.columns if c != "body"]
+    x = _once(messages, rest, payload=decode_body(F.col("body")))
+    x = _once(x, [*rest, "payload"], _objects=_objects(F.col("payload")))
+    x = x.select(*rest, "payload", _only(F.col("_objects")).alias("_m"))
     mm = F.col("_m")
-    x = x.select(
-        *[c for c in messages.columns if c != "body"], "payload", mm.isNull().alias("_bad"),
-        mm["v"]["sensor_id"].alias("sensor_id"), parse_iso(mm["v"]["timestamp"]).alias("event_time"),
-        key_fallback(mm, *KEY_PAIRS["temperature_c"]).alias("_t"),
-        key_fallback(mm, *KEY_PAIRS["humidity_pct"]).alias("_h"), mm["v"]["soil_moisture"].alias("_s"))
+    x = _once(x, [*rest, "payload"], _bad=mm.isNull(), sensor_id=value(mm, "sensor_id"),
+              event_time=parse_iso(value(mm, "timestamp")), _t=key_fallback(mm, *KEY_PAIRS["temperature_c"]),
+              _h=key_fallback(mm, *KEY_PAIRS["humidity_pct"]), _s=value(mm, "soil_moisture"))
     return x.select(
-        *[c for c in messages.columns if c != "body"], "sensor_id", "event_time",
+        *rest, "sensor_id", "event_time",
         _num(F.col("_t")).alias("temperature_c"), _num(F.col("_h")).alias("humidity_pct"),
         _num(F.col("_s")).alias("soil_moisture"), "payload",
         F.when(F.col("_bad"), F.lit(REJECT_REASONS["decode"]))

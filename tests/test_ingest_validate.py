@@ -162,3 +162,23 @@ def test_parse_iso_offsets(spark):
     ten = dt.datetime(2025, 9, 30, 10, 0)
     assert got[:3] == [ten, ten, ten] and got[3] == dt.datetime(2025, 9, 30, 10, 0, 0, 250000)
     assert got[4] == ten and got[5] is None
+
+
+def test_messages_are_parsed_once(spark):
+    """The filter on the reject reason does not bring a second decoding or parse into the plan."""
+    df = M.ingest_messages(spark.createDataFrame([(1, "e30=")], "event_id long, body string").repartition(2))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("try_to_binary(") + plan.count("unbase64(") <= 2
+
+
+@pytest.mark.parametrize("text, reason", [
+    ("", "decode"), ("[]", "decode"), ("null", "decode"), ('{"sensor_id": "s"} {', "decode"), ('{"x": NaN}', "decode"),
+    ("{}", "sensor"), ('{"sensor_id": null}', "sensor"), ('{"sensor_id": "s", "timestamp": null}', "time"),
+    ('{"sensor_id": "s", "timestamp": "2024-01-01", "timestamp": "2024"}', "time"),
+    ('{"sensor_id": "s", "timestamp": "2024-01-01", "humidity": "NaN"}', "measure"),
+    ('{"sensor_id": "s", "timestamp": "2024-01-01", "humidity_pct": null, "humidity": "wet"}', None),
+    ('{"sensor_id": 7, "timestamp": "2024", "timestamp": "2024-01-01T05"}', None)])
+def test_odd_bodies(spark, text, reason):
+    body = base64.b64encode(text.encode()).decode()
+    row = M.parse_messages(spark.createDataFrame([(1, body)], "event_id long, body string")).first()
+    assert row.reject_reason == (reason and M.REJECT_REASONS[reason])
