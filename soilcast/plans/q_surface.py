@@ -1,11 +1,14 @@
 """Registered queries: scans, projections, filters, aggregations."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from soilcast.functions import status as ST
-from soilcast.operators import marts, staging
-from soilcast.plans.catalog import query, r9, readings, with_readings
+from soilcast.operators import mart_state, marts, staging
+from soilcast.plans.catalog import ORACLE, query, r9, readings, with_readings
+from soilcast.session import scratch_path
 from soilcast.sources import readings as src
 
 REBASE_AS_OF = "2024-02-01 00:00:00"
@@ -182,3 +185,18 @@ FROM (
   FROM readings GROUP BY sensor_id)"""))
 def q_validate_series(spark, sf):
     return staging.validate_series(readings(spark, sf))
+
+
+@query("mart_from_batches", ORACLE["hourly_rollup"])
+def q_mart_from_batches(spark, sf):
+    """The hourly mart as a written table kept current from two interleaved batches, the late one delivered twice: each
+    merged into the state, and the days it touches refreshed in the mart."""
+    base = scratch_path(spark, f"mart-{uuid.uuid4().hex}")
+    state, mart = f"{base}/state", f"{base}/mart"
+    for name, odd, deliveries in (("early", 1, 1), ("late", 0, 2)):
+        batch = readings(spark, sf).where(F.pmod(F.col("event_id"), F.lit(2)) == odd)
+        for _ in range(deliveries):
+            mart_state.apply_batch(batch, state, name)
+        mart_state.refresh_mart(spark, state, mart, name)
+    df = mart_state.read_mart(spark, mart)
+    return df.withColumns({c: r9(c) for c in ["avg_temp_c", "avg_humidity", "avg_moisture"]})

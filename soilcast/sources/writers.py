@@ -28,17 +28,24 @@ def write_readings_table(readings: DataFrame, path: str, mode: str = "overwrite"
 ROWS_PER_FILE = 5_000_000   # a few hundred MB of readings
 
 
-def append_batch(readings: DataFrame, path: str, batch_size: int = ROWS_PER_FILE) -> int:
+def append_batch(readings: DataFrame, path: str, batch_size: int = ROWS_PER_FILE, batch_id: str | None = None) -> int:
     """Append readings to the table; ``batch_size`` caps rows per output file. Rows are range-partitioned by day,
-    sensor and time first, so a day's rows sit in few files. Returns the number of rows appended, counted by the
-    write itself (an observed metric)."""
+    sensor and time first, so a day's rows sit in few files. Returns the number of rows written, counted by the
+    write itself (an observed metric).
+
+    With ``batch_id`` the table is laid out by (event_date, batch_id), and a repeated batch replaces its own directories,
+    so a retry adds nothing. An id names one content, and a table takes ids from its first batch on or never."""
     from pyspark.sql import Observation
 
     obs = Observation("append")
     df = with_event_date(readings).repartitionByRange("event_date", "sensor_id", "event_time") \
-        .observe(obs, F.count(F.lit(1)).alias("rows"))
-    df.sortWithinPartitions("sensor_id", "event_time").write.mode("append").partitionBy("event_date") \
-        .option("maxRecordsPerFile", batch_size).parquet(path)
+        .observe(obs, F.count(F.lit(1)).alias("rows")).sortWithinPartitions("sensor_id", "event_time")
+    if batch_id is None:
+        w = df.write.mode("append").partitionBy("event_date")
+    else:
+        w = df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch_id")
+    w.option("maxRecordsPerFile", batch_size).parquet(path)
     return int(obs.get["rows"])
 
 
