@@ -126,3 +126,54 @@ def test_letters_keep_their_script(spark):
     got = run(spark, ["Иван.Петров@почта.рф", "Άννα@x.example.com"])
     assert re.match(r"[А-Я][а-я]{3}\.[А-Я][а-я]{5}@", got[0][0])
     assert re.match(r"[Α-Ω][α-ω]{3}@", got[1][0])
+
+
+def test_names_beyond_the_first_list_and_their_bare_mentions(spark):
+    got = run(spark, ["Emily Clark called.", "Priya Patel called.", "Anna-Maria Schmidt called.",
+                      "James Smith came. James left. Call James.", "Mr. May came in May.",
+                      "Mr. Baker is a baker, Baker said.", "Miss Universe sang.", "Prof. The Great sang.",
+                      "Mary Christmas to all.", "Иванова и Иванов: Анна Иванова, Иван Иванов."])
+    for i in range(3):
+        assert got[i][0].endswith(" called.") and not set(got[i][0].split()) & {"Emily", "Clark", "Priya", "Patel",
+                                                                                "Anna-Maria", "Schmidt"}
+    m = re.fullmatch(r"(\w+) (\w+) came\. (\w+) left\. Call (\w+)\.", got[3][0])
+    assert m[1] == m[3] == m[4] != "James" and got[3][1] == 3
+    assert re.fullmatch(r"Mr\. (?!May)\w+ came in May\.", got[4][0])
+    assert re.fullmatch(r"Mr\. (?!Baker)\w+ is a baker, Baker said\.", got[5][0])
+    assert got[6] == ("Miss Universe sang.", 0) and got[7][1] == 0 and got[8] == ("Mary Christmas to all.", 0)
+    f, m1, a, f2, i, m2 = re.findall(r"\w+", got[9][0].replace(" и ", " "))
+    assert f == f2 != "Иванова" and m1 == m2 != "Иванов" and (f == m1 or f == m1 + "а")
+
+
+def test_numbers_that_are_no_cards_and_accounts_that_are(spark):
+    got = run(spark, ["order 1234567890123 at 1700000000000", "amex 378282246310005", "any 4785380592391130",
+                      "version 1.2.3.4 at 1.2.3.4", "pay DE89 3704 0044 0532 0130 00 now", "password: hunter2",
+                      "password: enter", "call 0171 2345678", "GB29NWBK60161331926819"])
+    assert got[0][1] == 0 and "378282246310005" not in got[1][0] and luhn(got[1][0]) and got[2][1] == 1
+    assert re.fullmatch(r"version 1\.2\.3\.4 at (?!1\.2\.3\.4$)[\d.]+", got[3][0])
+    iban = re.fullmatch(r"pay (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) now", got[4][0])[1].replace(" ", "")
+    assert iban != "DE89370400440532013000" and got[4][1] == 1
+    british = re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", got[8][0])[0]
+    for x in (iban, british):
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert "hunter2" not in got[5][0] and got[6] == ("password: enter", 0) and re.search(r"call 0?\d{3,4} \d{7}$", got[7][0])
+    assert "2345678" not in got[7][0]
+
+
+def test_marks_in_a_text_stay_and_the_setting_decides_the_key(spark):
+    texts = ["\x01a\x03\x04 x@y.example.com \x03\x05\x01\x01", "\x01 \x03\x05 nothing"]
+    got = run(spark, texts, key="k1")
+    assert re.fullmatch("\x01a\x03\x04 \\w@\\w+\\.example \x03\x05\x01\x01", got[0][0]) and got[1] == (texts[1], 0)
+    spark.conf.set(P.KEY_SETTING, "k1")
+    try:
+        assert run(spark, texts) == got
+    finally:
+        spark.conf.unset(P.KEY_SETTING)
+    assert run(spark, texts) != got
+
+
+def test_texts_are_searched_once(spark):
+    df = spark.createDataFrame([(1, "x@y.example.com")], "doc_id long, text string")
+    plan = P.replace(df, found_into="n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "pii-searched" in plan or "LogicalRDD" in plan or "Relation" in plan
+    assert "AKIA" not in plan
