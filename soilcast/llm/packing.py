@@ -79,17 +79,18 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     leading = tokens.LEADING.get(vocabulary)
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
+    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path or tokens.vocabulary_path(vocabulary), leading)
         for b in batches:
             rows, out = [], {k: [] for k in ("piece", "start", "length", "crc", "ids")}
-            for k, ids in enumerate(enc.encode(b.column("text").to_pylist())):
-                ids = tokens.with_end(ids, end_id)
-                for p, at in enumerate(range(0, len(ids), capacity)):
-                    cut = ids[at:at + capacity].tobytes()
+            for k, ids in enumerate(enc.encode_bytes(b.column("text").to_pylist())):
+                ids += end
+                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    cut = ids[at:at + 4 * capacity]
                     rows.append(k)
-                    out["piece"].append(p), out["start"].append(at), out["length"].append(len(cut) // 4)
+                    out["piece"].append(p), out["start"].append(at // 4), out["length"].append(len(cut) // 4)
                     out["crc"].append(zlib.crc32(cut)), out["ids"].append(cut if keep_ids else None)
             cols = [b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(out["piece"], pa.int32()),
                     *(pa.array(out[k], pa.int64()) for k in ("start", "length", "crc"))]

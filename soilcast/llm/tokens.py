@@ -1,14 +1,16 @@
 """Encoding of whole texts with a public tokenizer file, inside Python workers.
 
 Both vocabularies used here never merge across the start of a white-space run, so a text's ids are the concatenation
-of the ids of its chunks. Each distinct chunk is encoded by the ``tokenizers`` library once per worker (a bounded
-cache) and looked up after that; results equal the library's encoding of the whole text (tested). Texts with one of
+of the ids of its chunks. Each distinct chunk, and each distinct part of one, is encoded by the ``tokenizers`` library
+once per worker (bounded caches) and looked up after that; results equal the library's encoding of the whole text (tested). Texts with one of
 the separators U+001C-U+001F, on which Python and the library disagree about white space, or with the string of an
 added token such as ``<|endoftext|>``, go to the library whole, as do all texts of other vocabularies. Ids are those of
 the file as it is, with add_special_tokens=False: an added token's string in a text is that token."""
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -31,6 +33,7 @@ _SIMPLE = re.compile(r"([ \n]?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:-@
 # Byte-level vocabularies write a byte outside the printable ranges as the next free code point from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+_SIGNS = [chr(_BYTE_SIGNS.get(b, b)) for b in range(256)]
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _EDGE = re.compile(r"\S(?=\s)")
 
@@ -41,16 +44,21 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Index(dict):
-    """Chunk to number; a new chunk gets the next number and is noted."""
+class _Ids(dict):
+    """Chunk (or part of one) to its ids, as little-endian unsigned 32-bit integers; what is new is learnt by ``of``."""
 
-    def __init__(self):
-        self.new: list[str] = []
+    def __init__(self, of):
+        self.of = of
 
-    def __missing__(self, chunk: str) -> int:
-        n = self[chunk] = len(self)
-        self.new.append(chunk)
-        return n
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.of(chunk)
+        return ids
+
+    def shrink(self):
+        if len(self) > CACHE:
+            kept = list(islice(self.items(), KEPT))
+            self.clear()
+            self.update(kept)
 
 
 class Encoder:
@@ -68,108 +76,63 @@ class Encoder:
         # strings that the library takes out of a text before it splits it
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()
                       if not (special_as_text and t.special)]
-        self.leading = leading
-        self._reset()
-
-    def _reset(self):
-        self.index = _Index()
-        self.ids = np.empty(1 << 20, np.uint32)
-        self.ends = np.zeros(CACHE * 2, np.int64)  # ends[i]: end of entry i - 1 in ids
-        self.used = 0
-
-    def _shrink(self):
-        kept = _Index()
-        kept.update(islice(self.index.items(), KEPT))
-        self.index, self.used = kept, int(self.ends[len(kept)])
-
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _store(self, got: list[list[int]]):
-        flat = np.fromiter((i for g in got for i in g), np.uint32)
-        n, total = len(self.index) - len(got), self.used + len(flat)
-        if total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(max(total, len(self.ids)), np.uint32)])
-        if n + len(got) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(got), np.int64)])
-        self.ids[self.used:total] = flat
-        self.ends[n + 1:n + 1 + len(got)] = self.used + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
-        self.used = total
-
-    def _learn(self, chunks: list[str]):
-        """Ids of new chunks. One of plain letters and signs is split here the way the library splits it, and its
+        self.leading, self.model = leading, self.tok.model
+        self.chunks, self.parts = _Ids(self._chunk), _Ids(self._part)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of letters or signs between two splits of the library, by its BPE model."""
+        if not part.isascii() or part[0] in " \n":
+            part = "".join([_SIGNS[b] for b in part.encode()])
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a new chunk. One of plain letters and signs is split here the way the library splits it, and its new
         parts go straight to the library's BPE model; any other goes through the library as a text."""
-        bpe, got, other = self.tok.model.tokenize, [], []
-        for k, c in enumerate(chunks):
-            m = _SIMPLE.fullmatch(c)
-            if not m:
-                other.append(k)
-                got.append([])
-                continue
-            gap, letters, signs = m.groups()
-            if not self.leading:
-                parts = (letters.lower(), signs)
-            elif gap == " ":
-                parts = (gap + letters, signs) if letters else (gap + signs,)
-            else:
-                parts = (gap, letters, signs)
-            got.append([t.id for p in parts if p for t in bpe(p.encode().decode("latin-1").translate(_BYTE_SIGNS))])
-        for at in range(0, len(other), 4096):
-            part = other[at:at + 4096]
-            for k, ids in zip(part, self._plain([chunks[k] for k in part])):
-                got[k] = ids
-        self._store(got)
-
-    def _chunks_to_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per chunk)."""
-        if len(self.index) > CACHE:
-            self._shrink()
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        if self.index.new:
-            self._learn(self.index.new)
-            self.index.new = []
-        first, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
-        total = int(lengths.sum())
-        base = np.repeat(first - (np.cumsum(lengths) - lengths), lengths)
-        return self.ids[base + np.arange(total)], lengths
-
-    def _long(self, text: str) -> np.ndarray:
+        if not self.leading and chunk.isascii() and chunk.isalpha():
+            return self.parts[chunk.lower()]
+        m = _SIMPLE.fullmatch(chunk)
+        if not m:
+            return self._whole(chunk)
+        gap, letters, signs = m.groups()
+        if not self.leading:
+            letters, gap = letters.lower(), ""
+        elif gap == " ":
+            letters, signs, gap = (gap + letters, signs, "") if letters else ("", gap + signs, "")
+        out = self.parts[letters] if letters else b""
+        if signs:
+            out += self.parts[signs]
+        return self.parts[gap] + out if gap else out
+
+    def _ids(self, text: str) -> bytes:
+        self.chunks.shrink(), self.parts.shrink()
+        return b"".join(map(self.chunks.__getitem__, self._split(text)))
+
+    def _long(self, text: str) -> bytes:
         """A very long text in slices that end where a white-space run begins."""
         out, at = [], 0
         while at < len(text):
             edge = _EDGE.search(text, at + _SLICE)
             end = edge.end() if edge else len(text)
-            out.append(self._chunks_to_ids(self._split(text[at:end]))[0])
+            out.append(self._ids(text[at:end]))
             at = end
-        return np.concatenate(out)
+        return b"".join(out)
 
     def _split(self, text: str) -> list[str]:
         return _CHUNK.findall(text) if self.leading else text.split()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        where, sizes, chunks = [], [], []
-
-        def flush():
-            if where:
-                ids, lengths = self._chunks_to_ids(chunks)
-                ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes)]
-                for i, s, e in zip(where, np.concatenate([[0], ends[:-1]]), ends):
-                    out[i] = ids[s:e]
-                where.clear(), sizes.clear(), chunks.clear()
-
-        for i, t in enumerate(texts):
+    def encode_bytes(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        for t in texts:
             if self.leading is None or _ODD.search(t) or any(a in t for a in self.added):
-                out[i] = np.array(self._plain([t])[0], np.uint32)
-            elif len(t) > _SLICE:
-                out[i] = self._long(t).astype(np.uint32)
+                yield self._whole(t)
             else:
-                c = self._split(t)
-                where.append(i), sizes.append(len(c)), chunks.extend(c)
-                if len(chunks) > 1 << 18:
-                    flush()
-        flush()
-        return out
+                yield self._long(t) if len(t) > _SLICE else self._ids(t)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(ids, "<u4") for ids in self.encode_bytes(texts)]
 
 
 def encoder(path: str, leading: bool | None) -> Encoder:

@@ -201,3 +201,14 @@ def test_added_tokens_in_documents(spark):
         want.append((i, start, len(x), zlib.crc32(x.tobytes())))
         start += len(x)
     assert sorted(map(tuple, R.round_trip(df).collect())) == want
+
+
+def test_equal_parts_of_different_chunks_are_learnt_once():
+    from types import SimpleNamespace
+
+    enc = T.Encoder(T.vocabulary_path(T.WORD_BPE), False)
+    whole, asked, model = enc.encode(["été (word) Word, word"]), [], enc.tok.model
+    enc = T.Encoder(T.vocabulary_path(T.WORD_BPE), False)
+    enc.model = SimpleNamespace(tokenize=lambda part: asked.append(part) or model.tokenize(part))
+    assert [list(x) for x in enc.encode(["été (word) Word, word"])] == [list(x) for x in whole]
+    assert "word" in asked and len(asked) == len(set(asked))
