@@ -7,21 +7,23 @@ equal. A word's form is its near word with the largest count (ties: smallest in
 ``FACTOR`` times the word's own; its root is the end of the chain of forms.
 
 The trie is a table of edges (node, code point, child). Nodes are numbered by a 64-bit rolling hash of their prefix; an
-edge with code point 0 leads from a whole word's node to that word. A state is (word, node, rest): the prefix spelled so
-far, with at most one edit, and the part of the word still to be read. States without an edit need no join: they are the
-word's own prefixes. From each of them one edit is spent: the next code point is dropped, or replaced by a larger one
-along another edge of the node (inserted and smaller code points are the same pairs seen from the other word). Then all
-states are joined with the edge table level by level, one code point a level; a state without an edge ends, a state that
-reads the end of a word is a pair. After ``LEVELS`` levels what still lives is finished by looking up its whole spelling,
-so that one long word does not ask for as many joins as it has letters.
+edge with code point 0 leads from a whole word's node to that word. Only nodes that several words pass are kept: below any
+other there is no neighbour. An edge with one word below it holds the rest of that word, and a state that takes it is
+compared at once; an edge with more holds one bit of 64 for each rest below it, and a state whose rest has no bit there
+ends. A state is (word, node, rest): the prefix spelled so far, with at most one edit, and the part of the word still to be
+read. States without an edit need no join: they are the word's own prefixes. From each of them one edit is spent: the next
+code point is dropped, or replaced by a larger one along another edge of the node (inserted and smaller code points are the
+same pairs seen from the other word). Then what lives is joined with the edge table level by level, one code point a level.
+After ``LEVELS`` levels what still lives is finished by looking up its whole spelling, so that one long word does not ask
+for as many joins as it has letters.
 
 An edit in the first half of a word would start near the root, where nodes have many edges. So there are two tries, of
 the words and of the reversed words, and each spends its edit in the second half only; the prefix before it is then at
 least half a word long. Pairs found twice are merged, and every pair is checked by its edit distance, so two prefixes
 with one hash could cost time, never a wrong or a lost pair.
 
-Scale: counts are combined map-side; the edge table and the states are dealt by node; no group of words is ever paired
-with itself. A word spends at most (length + 1) / 2 edits a trie times the edges of a node, so the work grows with the
+Scale: counts are combined map-side; paths, edges and states are dealt by node; no group of words is ever paired with
+itself, and a state is written only if its rest may be below the edge it takes. A word spends at most (length + 1) / 2 edits a trie times the edges of a node, so the work grows with the
 words, not with their pairs.
 
 Nulls and edges: a null text has no words; a null doc_id is written as the empty string before the colon; repeated rows
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from soilcast.llm.common import ship, written
 
@@ -113,92 +115,107 @@ def _words_both_ways(words: list[str]) -> Iterator[tuple[list[str], bool]]:
     yield [w[::-1] for w in words], True
 
 
-def edge_table(words: DataFrame) -> DataFrame:
-    """(node, point, child) of both tries over (id, word); ``point`` 0 leads from a whole word's node to its id."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("id").to_numpy()
-            for spelled, back in _words_both_ways(b.column("word").to_pylist()):
-                points, node, length = _prefix_hashes(spelled, _ROOTS[back])
-                ends = np.cumsum(length + 1) - 1
-                inner = np.ones(len(node), bool)
-                inner[ends] = False
-                at = np.flatnonzero(inner)
-                key = np.unique(np.stack([node[at], points, node[at + 1]], 1).view([("", np.uint64)] * 3))
-                key = key.view(np.uint64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([key[:, 0], node[ends]]).view(np.int64)),
-                     pa.array(np.concatenate([key[:, 1], np.zeros(len(ends), np.uint64)]).astype(np.int32)),
-                     pa.array(np.concatenate([key[:, 2].view(np.int64), ids]))], names=["node", "point", "child"])
-
-    return words.select("id", "word").mapInArrow(run, "node bigint, point int, child bigint").distinct()
-
-
-_STATE = "id bigint, back boolean, cut int, node bigint, replaced int, rest string"
-
-
-def spent_edits(words: DataFrame) -> DataFrame:
-    """States that are about to spend their edit in a second half: (id, back, cut, node, replaced, rest). ``node`` is the
-    word's own prefix of ``cut`` code points in its direction and ``rest`` what follows the edit. ``replaced`` is the code
-    point to be replaced by a larger one, or null where it is dropped."""
+_SPELLED = "id bigint, back boolean, cut int, node bigint, point int, child bigint, rest string"
+
+
+def _cuts(words: list[str], back: bool) -> Iterator[list[tuple[int, int, int]]]:
+    """Groups of (word, from, to): the cuts of second halves, the end included; a group's rests have about a million
+    code points, and a long word is dealt over several groups."""
+    group, held = [], 0
+    for i, w in enumerate(words):
+        n = len(w)
+        low, step = n - n // 2 if back else n // 2, max(1, (1 << 20) // n)
+        for at in range(low, n + 1, step):
+            to = min(n + 1, at + step)
+            group.append((i, at, to))
+            held += (to - at) * (n + 50)
+            if held > 1 << 22:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
+def spelled_halves(words: DataFrame) -> DataFrame:
+    """Both tries' paths of (id, word) from the first node where a word may spend its edit: per cut the prefix's node, the
+    next code point, the node it leads to and what follows it. At the end of a word point 0 leads to its id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                ids = part.column("id").to_pylist()
+                ids = part.column("id").to_numpy()
                 for spelled, back in _words_both_ways(part.column("word").to_pylist()):
-                    _, hashes, length = _prefix_hashes(spelled, _ROOTS[back])
-                    hashes = hashes.view(np.int64)
-                    first = (np.cumsum(length + 1) - length - 1).tolist()
-                    rows: list[tuple] = []
-                    held = 0
-                    for i, w, f in zip(ids, spelled, first):
-                        n = len(w)
-                        for cut in range(n - n // 2 if back else n // 2, n):
-                            rest, c = w[cut + 1:], w[cut]
-                            rows.append((i, back, cut, f + cut, ord(c), rest))
-                            if rest[:1] != c:      # of a run of equal code points the last is dropped
-                                rows.append((i, back, cut, f + cut, None, rest))
-                            held += 50 + len(rest)
-                            if held > 1 << 20:
-                                yield _state_batch(rows, hashes)
-                                rows, held = [], 0
-                    if rows:
-                        yield _state_batch(rows, hashes)
-
-    return words.select("id", "word").mapInArrow(run, _STATE)
-
-
-def _state_batch(rows: list[tuple], hashes: np.ndarray) -> pa.RecordBatch:
-    i, back, cut, place, replaced, rest = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(i, pa.int64()), pa.array(back), pa.array(cut, pa.int32()), pa.array(hashes[list(place)]),
-         pa.array(replaced, pa.int32()), pa.array(rest, pa.string())],
-        names=["id", "back", "cut", "node", "replaced", "rest"])
+                    points, hashes, length = _prefix_hashes(spelled, _ROOTS[back])
+                    hashes, first = hashes.view(np.int64), np.cumsum(length) - length
+                    for group in _cuts(spelled, back):
+                        g = np.array(group, np.int64)
+                        count = g[:, 2] - g[:, 1]
+                        word = np.repeat(g[:, 0], count)
+                        cut = np.arange(len(word)) + np.repeat(g[:, 1] - np.cumsum(count) + count, count)
+                        end = cut == length[word]
+                        place = first[word] + cut
+                        point = np.where(end, 0, points[np.minimum(place, len(points) - 1)]).astype(np.int32)
+                        child = np.where(end, ids[word], hashes[np.minimum(place + word + 1, len(hashes) - 1)])
+                        rest = [spelled[i][k:] for i, low, to in group for k in range(low + 1, to + 1)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[word]), pa.array(np.full(len(word), back)), pa.array(cut.astype(np.int32)),
+                             pa.array(hashes[place + word]), pa.array(point), pa.array(child), pa.array(rest, pa.string())],
+                            names=["id", "back", "cut", "node", "point", "child", "rest"])
+
+    return words.select("id", "word").mapInArrow(run, _SPELLED)
+
+
+def _bit(rest: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(rest).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def edge_table(shared: DataFrame) -> DataFrame:
+    """(node, point, child, words, tail, leaf, below) of the paths ``shared``: ``words`` paths go through the edge; if it
+    is one, ``tail`` is what it spells after the edge and ``leaf`` its word. ``below`` has a bit set for what each spells."""
+    return shared.groupBy("node", "point", "child").agg(
+        F.count(F.lit(1)).alias("words"), F.min("rest").alias("tail"), F.min("id").alias("leaf"),
+        F.bit_or(_bit(F.col("rest"))).alias("below"))
+
+
+def _leads_on(left: Column) -> Column:
+    """Whether ``left`` may be spelled below the edge: surely if one word is below it, else by its bit."""
+    return F.when(F.col("words") == 1, left == F.col("tail")).otherwise(
+        F.col("below").bitwiseAND(_bit(left)) != 0)
+
+
+def _next(rest: Column) -> Column:
+    return F.when(rest == "", 0).otherwise(F.ascii(rest))
 
 
 def near_pairs(words: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(a, b): ids of all pairs of near words of (id, word), each pair once, in one of its two orders."""
-    edges = written(edge_table(words), "spelling-edges")
-    new = written(spent_edits(words), "spelling-edits")
-    state = ["id", "back", "cut", "node", "swap", "rest"]
-    dropped = new.where("replaced is null").withColumn("swap", F.lit(None).cast("int"))
-    e = edges.select("node", F.col("point").alias("swap"), "child")
-    replaced = new.where("replaced is not null").join(e, "node").where("swap > replaced") \
-        .withColumn("node", F.col("child"))
-    live = dropped.select(*state).unionByName(replaced.select(*state))
-    found = None
-    # code point 0 marks the end of the word; what has read it has the neighbour's id for its node
-    step = edges.select("node", "point", "child")
-    for level in range(levels):
-        ahead = live.withColumn("point", F.when(F.col("rest") == "", 0).otherwise(F.ascii(F.col("rest"))))
-        moved = ahead.join(step, ["node", "point"]).select(
-            "id", "back", "cut", F.col("child").alias("node"), "swap", F.expr("substring(rest, 2)").alias("rest"),
-            (F.col("point") == 0).alias("ended"))
+    # a node on one word's path only has no neighbour below it
+    shared = written(spelled_halves(words).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("node")))
+                     .where("_n > 1").drop("_n"), "spelling-paths")
+    edges = written(edge_table(shared), "spelling-edges")
+    # a state is about to read ``point`` of its own word; it leaves along another edge, with the point dropped or replaced
+    # by a larger one (of a run of equal code points the last is dropped)
+    state = shared.where("point > 0").select("id", "back", "cut", "node", F.col("point").alias("own"), "rest")
+    shorter = F.expr("substring(rest, 2)")
+    replaced = (F.col("point") > F.col("own")) & _leads_on(F.col("rest"))
+    dropped = (F.col("point") == _next(F.col("rest"))) & (F.col("point") != F.col("own")) & _leads_on(shorter)
+    e = edges.withColumnRenamed("node", "_node")
+    moved = state.join(e, (F.col("node") == F.col("_node")) & (replaced | dropped))
+    ways = F.filter(F.array(F.struct(replaced.alias("ok"), F.col("point").alias("swap"), F.col("rest").alias("rest")),
+                            F.struct(dropped.alias("ok"), F.lit(None).cast("int").alias("swap"), shorter.alias("rest"))),
+                    lambda w: w["ok"])
+    moved = moved.select("id", "back", "cut", "child", "words", "leaf", F.explode(ways).alias("w")) \
+        .select("id", "back", "cut", F.col("w.swap").alias("swap"), F.col("w.rest").alias("rest"), "child", "words", "leaf")
+    found = live = None
+    for level in range(levels + 1):
+        if level:      # one code point a level
+            ahead = live.withColumn("own", _next(F.col("rest")))
+            moved = ahead.join(e, (F.col("node") == F.col("_node")) & (F.col("own") == F.col("point")) & _leads_on(shorter)) \
+                .select("id", "back", "cut", "swap", shorter.alias("rest"), "child", "words", "leaf")
         moved = written(moved, f"spelling-level-{level}")
-        done = moved.where("ended").select(F.col("id").alias("a"), F.col("node").alias("b"))
+        done = moved.where("words = 1").select(F.col("id").alias("a"), F.col("leaf").alias("b"))
         found = done if found is None else found.unionByName(done)
-        live = moved.where("not ended").drop("ended")
+        live = moved.where("words > 1").select("id", "back", "cut", "swap", "rest", F.col("child").alias("node"))
         if live.isEmpty():
             live = None
             break

@@ -111,3 +111,18 @@ def test_awkward_and_empty_tables(spark):
     assert rows_of(spelling.variants(docs), *COLUMNS) == brute(counts(plain))
     assert spelling.variants(empty(spark)).count() == 0
     assert spelling.variants(awkward(spark, ["a b"])).count() == 0
+
+
+def test_words_without_neighbours_make_no_states(spark, monkeypatch):
+    r, rows, written = random.Random(5), {}, spelling.written
+
+    def counted(df, name):
+        out = written(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(spelling, "written", counted)
+    v = sorted({"".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=16)) for _ in range(500)})
+    words = spark.createDataFrame([(i, w) for i, w in enumerate(v + [v[0][:-1] + "é"])], "id long, word string")
+    assert [sorted(x) for x in spelling.near_pairs(words).collect()] == [[0, len(v)]]
+    assert sum(n for name, n in rows.items() if "level" in name) <= 10 and rows["spelling-edges"] <= 30
