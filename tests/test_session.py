@@ -1,4 +1,7 @@
 """The shared folder of a session, by master and settings (stand-ins: no cluster is started)."""
+import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -31,3 +34,26 @@ def test_without_a_named_folder(master):
     path = ensure_checkpoint_dir(s)
     assert path.startswith("file:/shared/warehouse/") and ensure_checkpoint_dir(s) == path
     assert s.sparkContext.used == [path, path]
+
+
+BARE = """
+import sys
+from pyspark.sql import SparkSession
+from soilcast.session import cut_lineage, ensure_checkpoint_dir, scratch_path
+spark = SparkSession.builder.master("local[1]").config(map={"spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1",
+    "spark.sql.warehouse.dir": sys.argv[1]}).getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+first = ensure_checkpoint_dir(spark)
+assert ensure_checkpoint_dir(spark) == first and scratch_path(spark, "models") == f"{first}/models"
+assert cut_lineage(spark.range(10)).count() == 10
+"""
+
+
+def test_a_real_session_without_a_named_folder(tmp_path):
+    """Spark refuses to set ``spark.checkpoint.dir`` in a running session; an empty settings folder leaves it unnamed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "conf").mkdir()
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path / "conf"), "SOILCAST_SCRATCH": str(tmp_path), "PYTHONPATH": root}
+    run = subprocess.run([sys.executable, "-c", BARE, str(tmp_path / "tables")], env=env, cwd=tmp_path, timeout=240,
+                         capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr[-2000:]
