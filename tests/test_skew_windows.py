@@ -1,6 +1,8 @@
 """Chunked (halo) windows equal whole-series windows, with a hot sensor that has dense and sparse days."""
 import datetime as dt
+import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -111,3 +113,22 @@ def test_history_features_environment_columns(spark, skewed):
     assert [tuple(r) for r in f] == [(20.0, 50.0, 9.5, 1.0)]
     g = W.history_features(skewed).select(*W.FEATURE_NAMES[-4:]).distinct().collect()
     assert [tuple(r) for r in g] == [(20.0, 50.0, 12.0, 1.0)]
+
+
+def test_recent_stats_do_not_depend_on_the_order_of_rows(spark):
+    rnd = random.Random(7)
+    rows = [(k, "S1", dt.datetime(2025, 1, 1) + dt.timedelta(minutes=k), rnd.random() * 10 ** -rnd.randint(0, 5)) for k in range(3000)]
+    rows += [(9000 + k, "S2", dt.datetime(2025, 1, 1) + dt.timedelta(hours=k), 0.1) for k in range(50)]
+    rows += [(9100, "S3", dt.datetime(2025, 1, 1), 0.4), (9101, "S4", dt.datetime(2025, 1, 1), None)]
+    seen = set()
+    for parts in (1, 3, 7):
+        rnd.shuffle(rows)
+        df = spark.createDataFrame(rows, "event_id long, sensor_id string, event_time timestamp_ntz, soil_moisture double")
+        got = {r.sensor_id: tuple(r)[1:] for r in W.recent_stats(df.repartition(parts)).collect()}
+        seen.add(str(sorted(got.items())))
+    assert len(seen) == 1
+    values = [r[3] for r in rows if r[1] == "S1"]
+    assert got["S1"][1] == pytest.approx(math.fsum(values) / 3000, rel=1e-15)
+    assert got["S1"][2] == pytest.approx(statistics.stdev(values), rel=1e-12)
+    assert got["S2"][1] == pytest.approx(0.1) and got["S2"][2] == 0.0
+    assert got["S3"] == (1, 0.4, None, 1.0) and got["S4"] == (1, None, None, None)
