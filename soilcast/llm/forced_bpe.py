@@ -29,7 +29,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +43,102 @@ SLICE = 1 << 20       # characters of text encoded at once
 CACHE = 1_000_000     # distinct fragments a worker remembers
 KEPT = 200_000        # of these stay when it is full: the first met, so mostly the commonest
 SHORT = 24            # bytes of a fragment that is merged together with others
+KEY = 7               # bytes of a fragment that is looked up together with others
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(KEY + 1)], np.uint64)
 _LETTER, _DIGIT, _SIGN, _SPACE, _UNKNOWN = range(5)
 _EDGE = re.compile(r"\S(?=[ \n\t\r])")
 _PLAIN = {"single_word", "lstrip", "rstrip", "normalized"}
 
 
-class _Numbers(dict):
-    """Fragment to its number; a new one gets the next number and is noted."""
+class _Numbers:
+    """Fragment to its number; new ones get the next numbers and are noted. Fragments of up to KEY bytes are looked up all
+    at once by their bytes and length as one integer, in a hash table with linear probing; longer ones in a dictionary."""
 
     def __init__(self):
         self.new: list[bytes] = []
+        self.count = 0
+        self.longer: dict[bytes, int] = {}
+        self._table(np.empty(0, np.uint64), np.empty(0, np.int32), 16)
+
+    def _table(self, keys: np.ndarray, numbers: np.ndarray, bits: int) -> None:
+        self.bits, self.held = bits, 0
+        self.keys, self.numbers = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self._put(keys, numbers)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct keys that the table does not hold."""
+        if 2 * (self.held + len(keys)) > len(self.keys):
+            on = np.flatnonzero(self.keys)
+            old = self.keys[on], self.numbers[on]
+            bits = int(2 * (self.held + len(keys))).bit_length() + 1
+            self._table(np.concatenate([old[0], keys]), np.concatenate([old[1], numbers]), bits)
+            return
+        self.held += len(keys)
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]        # of several at one place the last stays
+            done = self.keys[slot] == keys
+            self.numbers[slot[done]] = numbers[done]
+            keys, numbers, slot = keys[~done], numbers[~done], (slot[~done] + 1) & (len(self.keys) - 1)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of keys, -1 for those not held."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.numbers[slot], np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there != 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.numbers[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], slot[on]
+        return out
+
+    def of(self, raw: bytes, places: np.ndarray) -> np.ndarray:
+        """Numbers of the fragments of ``raw`` that begin at ``places``."""
+        size = np.diff(places, append=len(raw))
+        short = np.flatnonzero(size <= KEY)
+        padded = np.frombuffer(raw + bytes(8), np.uint8)
+        window = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))     # the eight bytes from every place on
+        n = size[short]
+        keys = (window[places[short]] & _MASK[n]) | (n.astype(np.uint64) << np.uint64(56))
+        found = self._find(keys)
+        miss = np.flatnonzero(found < 0)
+        if len(miss):
+            fresh, first, which = np.unique(keys[miss], return_index=True, return_inverse=True)
+            numbers = np.arange(self.count, self.count + len(fresh), dtype=np.int32)
+            at = short[miss[first]]
+            self.new += [raw[s:s + k] for s, k in zip(places[at].tolist(), size[at].tolist())]
+            self.count += len(fresh)
+            self._put(fresh, numbers)
+            found[miss] = numbers[which]
+        out = np.empty(len(places), np.int64)
+        out[short] = found
+        rest = np.flatnonzero(size > KEY)
+        for i, s, k in zip(rest.tolist(), places[rest].tolist(), size[rest].tolist()):
+            f = raw[s:s + k]
+            number = self.longer.get(f)
+            if number is None:
+                number = self.longer[f] = self.count
+                self.count += 1
+                self.new.append(f)
+            out[i] = number
+        return out
 
-    def __missing__(self, fragment: bytes) -> int:
-        n = self[fragment] = len(self)
-        self.new.append(fragment)
-        return n
+    def shrink(self, kept: int) -> None:
+        """Forgets all but the first ``kept`` fragments."""
+        on = np.flatnonzero((self.keys != 0) & (self.numbers < kept))
+        self.longer = {f: n for f, n in self.longer.items() if n < kept}
+        self.count = kept
+        self._table(self.keys[on], self.numbers[on], max(16, int(2 * len(on)).bit_length() + 1))
 
 
 def _spread(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -167,8 +247,8 @@ class Encoder:
             cut[after[after < n]] = True
         return cut
 
-    def _fragments(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-        """Fragments of all texts in order, and their number per text. No text is empty."""
+    def _fragments(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Bytes of all texts, where their fragments begin, and the number of fragments per text. No text is empty."""
         joined = "".join(texts)
         raw = joined.encode()
         b = np.frombuffer(raw, np.uint8)
@@ -183,9 +263,7 @@ class Encoder:
         cut[1:] |= ~self.v.inside[(b[:-1].astype(np.uint16) << 8) | b[1:]]
         places = np.flatnonzero(cut)
         counts = np.diff(np.append(np.searchsorted(places, starts), len(places)))
-        p = places.tolist()
-        p.append(len(raw))
-        return [raw[s:e] for s, e in zip(p, p[1:])], counts
+        return raw, places, counts
 
     # ---- merging ------------------------------------------------------------------------------------------------
     def _merge_short(self, fragments: list[bytes]) -> list[np.ndarray]:
@@ -260,7 +338,7 @@ class Encoder:
             if got[k] is None:
                 got[k] = self._merge_long(f)
         flat = np.concatenate(got)
-        n, total = len(self.numbers) - len(got), self.used + len(flat)
+        n, total = self.numbers.count - len(got), self.used + len(flat)
         if total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(max(total, len(self.ids)), np.uint32)])
         if n + len(got) + 1 > len(self.ends):
@@ -274,12 +352,11 @@ class Encoder:
         """(ids, ids per text) of texts without added tokens, none empty."""
         if not texts:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        if len(self.numbers) > CACHE:
-            kept = _Numbers()
-            kept.update(islice(self.numbers.items(), KEPT))
-            self.numbers, self.used = kept, int(self.ends[KEPT])
-        fragments, counts = self._fragments(texts)
-        at = np.fromiter(map(self.numbers.__getitem__, fragments), np.int64, len(fragments))
+        if self.numbers.count > CACHE:
+            self.numbers.shrink(KEPT)
+            self.used = int(self.ends[KEPT])
+        raw, places, counts = self._fragments(texts)
+        at = self.numbers.of(raw, places)
         if self.numbers.new:
             new, self.numbers.new = self.numbers.new, []
             self._learn(new)

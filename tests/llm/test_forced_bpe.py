@@ -2,6 +2,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from soilcast.llm import forced_bpe, tokens
@@ -109,3 +110,20 @@ def test_query_on_the_whole_table(spark, library):
                      hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     got = rows_of(QUERIES["op11_forced_boundary_bpe"](spark, SF), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert got == sorted(want, key=repr)
+
+
+def test_fragment_numbers_by_the_batch():
+    """Equal fragments get one number, also across batches, growth of the table and forgetting; zero bytes count."""
+    rnd, known, numbers = random.Random(3), {}, forced_bpe._Numbers()
+    for _ in range(6):
+        parts = [bytes(rnd.choices((0, 1, 97, 255), k=rnd.randint(1, 10))) for _ in range(20_000)]
+        places = np.cumsum([0, *map(len, parts[:-1])])
+        got = numbers.of(b"".join(parts), places).tolist()
+        for p, n in zip(parts, got):
+            assert known.setdefault(p, n) == n
+        assert len(set(known.values())) == len(known) == numbers.count
+    assert {known[p] for p in known} == set(range(numbers.count)) and numbers.new[known[parts[0]]] == parts[0]
+    numbers.shrink(100)
+    kept = [p for p, n in known.items() if n < 100]
+    assert numbers.of(b"".join(kept), np.cumsum([0, *map(len, kept[:-1])])).tolist() == [known[p] for p in kept]
+    assert numbers.count == 100
