@@ -74,6 +74,18 @@ def test_scores_equal_the_fitted_model(spark, fleet):
     assert a == b and a
 
 
+def test_a_thread_of_the_caller_trains_too(spark, fleet):
+    """Such a thread has no active session; it failed when the trees were read back."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    key = model_store.model_key(fleet, SMALL)
+    model_store.forget(spark, key)
+    with ThreadPoolExecutor(1) as thread:
+        arrays = thread.submit(model_store.forest_of, fleet, SMALL).result()
+    assert len(arrays["roots"]) == SMALL["num_trees"]
+    model_store.forget(spark, key)
+
+
 def test_queries_use_the_real_method(spark):
     """Summary, dates, advice and urgency are those of predict_batch."""
     from soilcast.plans import catalog
