@@ -36,6 +36,16 @@ def test_tail_uses_window_group_limit(spark):
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
+def test_halo_union_is_dealt_by_chunk(spark):
+    """Rows that come dealt by sensor leave both sides of the halo union so; the window must not rely on the union for it."""
+    r = load_readings(spark, SF001)
+    dealt = r.join(r.groupBy("sensor_id").count().where("count > 1").hint("merge"), "sensor_id", "left_semi")
+    lines = _plan(windows.reading_deltas(dealt)).split("\n")
+    at = next(i for i, x in enumerate(lines) if x.split("- ")[-1].strip() == "Union")
+    above = next(x for x in reversed(lines[:at]) if "Project" not in x)
+    assert "Exchange hashpartitioning(sensor_id" in above and "_chunk" in above
+
+
 def test_decay_passes_read_checkpointed_points_only(spark):
     fit = decay.decay_fit(load_readings(spark, SF001))
     fit.collect()
