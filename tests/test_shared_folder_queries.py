@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-QUERIES = ["decay_curve", "decay_fit_degenerate", "decay_crossing"]
+QUERIES = ["decay_curve", "decay_fit_degenerate", "decay_crossing", "decay_fit"]
 
 RUN = """
 import json, sys
