@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-QUERIES = ["decay_curve", "decay_fit_degenerate", "decay_crossing", "decay_fit"]
+QUERIES = ["decay_curve", "decay_fit_degenerate", "decay_crossing", "decay_fit", "falling_chart_curve"]
 
 RUN = """
 import json, sys
