@@ -12,7 +12,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-QUERIES = ["decay_curve", "decay_fit_degenerate", "decay_crossing", "decay_fit", "falling_chart_curve"]
+QUERIES = ["decay_curve", "decay_fit_degenerate", "decay_crossing", "decay_fit", "falling_chart_curve",
+           "falling_crossing"]
 
 RUN = """
 import json, sys
