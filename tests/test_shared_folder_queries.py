@@ -13,7 +13,8 @@ import pyarrow.parquet as pq
 import pytest
 
 QUERIES = ["decay_curve", "decay_fit_degenerate", "decay_crossing", "decay_fit", "falling_chart_curve",
-           "falling_crossing", "fit_quality", "falling_curve_crossing", "mart_from_batches"]
+           "falling_crossing", "fit_quality", "falling_curve_crossing", "mart_from_batches",
+           "observed_and_predicted"]
 
 RUN = """
 import json, sys
