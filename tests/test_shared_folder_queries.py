@@ -14,7 +14,7 @@ import pytest
 
 QUERIES = ["decay_curve", "decay_fit_degenerate", "decay_crossing", "decay_fit", "falling_chart_curve",
            "falling_crossing", "fit_quality", "falling_curve_crossing", "mart_from_batches",
-           "observed_and_predicted", "predict_rejects", "recommendations_exponential"]
+           "observed_and_predicted", "predict_rejects", "recommendations_exponential", "predict_submission"]
 
 RUN = """
 import json, sys
