@@ -117,7 +117,8 @@ def candidate_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOC
     rows = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))
                            .alias("m", "k"))
     sizes = rows.groupBy("m", "k").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(sizes, ["m", "k"])
+    # Spark takes an exploded table for as small as the fingerprints and would broadcast all the tables' rows
+    met = rows.join(sizes.hint("merge"), ["m", "k"])
     parts = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(1)), parts).cast("int")
     met = met.select("m", "k", "fp", parts.alias("p"), mine.alias("i"))

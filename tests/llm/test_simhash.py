@@ -120,3 +120,11 @@ def test_null_ids_link_through_their_fingerprint(spark):
     got = sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(df).collect()), key=repr)
     assert got == [(7, 7), (None, 7), (None, 7), (None, None)]
     assert S.keep_first(df).count() == 2
+
+
+def test_the_masked_rows_are_not_broadcast(spark):
+    """31 rows a fingerprint, which Spark takes for as small as the fingerprints: one broadcast of them filled the driver."""
+    distinct = spark.range(500).select(F.xxhash64("id").alias("fp"))
+    links = S.candidate_links(distinct)
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    assert links.where("bit_count(a ^ b) > 4").count() == 0
