@@ -74,6 +74,52 @@ def test_scores_equal_the_fitted_model(spark, fleet):
     assert a == b and a
 
 
+def test_bags_are_those_of_spark_and_histograms_few(spark, fleet):
+    """A partition per few rows: the model is Spark's own, and no pass has more tasks than merged partitions."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = forest.forest_training_rows(fleet).persist()
+    keys, n, sc = ["sensor_id", "event_time", "event_id"], rows.count(), spark.sparkContext
+    most = max(forest.HISTOGRAM_PARTS, sc.defaultParallelism)
+
+    def tasks(group, job):
+        """The model and the most tasks of a stage that fills histograms."""
+        sc.setJobGroup(group, group)
+        try:
+            model, at = job(), sc.statusTracker()
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        stages = [at.getStageInfo(i) for j in at.getJobIdsForGroup(group) for i in at.getJobInfo(j).stageIds]
+        return model, max(x.numTasks for x in stages if x and x.name.startswith("mapPartitions at RandomForest"))
+
+    for rows_per_partition in (n // 3, n // (2 * most)):
+        parts = -(-n // rows_per_partition)
+        data = VectorAssembler(inputCols=forest.FEATURE_NAMES, outputCol="features").transform(
+            rows.repartition(parts, *keys).sortWithinPartitions(*keys)).select("features", F.col("target").alias("label"))
+        own = RandomForestRegressor(numTrees=5, seed=42, maxDepth=4, maxBins=64, featureSubsetStrategy="all")
+        own, _ = tasks(f"own-{parts}", lambda: own.fit(data))
+        mine, widest = tasks(f"mine-{parts}", lambda: forest.forest_train(rows, rows_per_partition=rows_per_partition, **SMALL))
+        a, b = ([r.prediction for r in m.transform(data).collect()] for m in (mine, own))
+        close = sum(abs(x - y) < 1e-9 for x, y in zip(a, b)) / len(a)
+        assert widest == min(parts, most) and mine.getNumTrees == 5
+        assert close == 1 if parts <= most else close > 0.8      # of splits with equal gain another may be taken
+    rows.unpersist()
+
+
+def test_training_leaves_no_tables_behind(spark, fleet):
+    """The series and the training rows are Parquet tables that go with the training."""
+    from pathlib import Path
+
+    params = {**SMALL, "max_depth": 2}
+    key = model_store.model_key(fleet, params)
+    model_store.forget(spark, key)
+    model_store.forest_of(fleet, params)
+    top = Path(model_store.store_folder(spark).removeprefix("file:")).parent
+    assert not [*top.glob("series-*"), *top.glob("forest-*")]
+    model_store.forget(spark, key)
+
+
 def test_a_thread_of_the_caller_trains_too(spark, fleet):
     """Such a thread has no active session; it failed when the trees were read back."""
     from concurrent.futures import ThreadPoolExecutor
